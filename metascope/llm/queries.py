@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metascope.llm import contamination, splitting, tokenizer
+from metascope.llm import contamination, splitting, syntax, tokenizer
 from metascope.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,28 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "chunks")).distinct()
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.parse_files(table(spark, d, "export_files"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).filter(~F.col("accepted")).select("file_id").distinct()
+
+
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Each invalid version with its first cause and all its errors."""
+    return _parsed(spark, d).filter(~F.col("accepted")).dropDuplicates(["file_id"])
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(_parsed(spark, d))
+
+
+def p3_reported(spark: SparkSession, d: str) -> DataFrame:
+    """How the validator's findings agree with the parser."""
+    return syntax.against_diagnostics(_parsed(spark, d), table(spark, d, "diagnostics"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -45,7 +67,7 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 _GRAMS = "unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' '))) AS g"
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p6_ids, p6_round_trip, p7_found, p7_leaks)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_errors, p3_rates, p3_reported, p6_ids, p6_round_trip, p7_found, p7_leaks)}
 SQL: dict[str, str] = {
     "p2_found": "SELECT DISTINCT id FROM chunks WHERE length(document) > 4000",
     "p7_found": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
