@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 4000, 200
 #: A cut is allowed where one of these looks hold, from the strongest to the weakest.
 BOUNDARIES = (
-    r"(?<=\n[ \t]{0,40}\r?\n)",  # after an empty line
+    r"(?<=\n)(?:(?<=\n\n)|(?<=\n\r\n)|(?<=\n[ \t]{1,8}\r?\n))",  # after an empty line
     r"(?:(?<=\n)|(?<=[\r\x{85}\x{2028}\x{2029}])(?!\n))",  # after a line
-    r"(?<=[.!?\x{2026}][\s\x{A0}])(?![\s\x{A0}])",  # after a sentence
-    r"(?<=[;,:)][\s\x{A0}])(?![\s\x{A0}])",  # after a part of a sentence or a statement
+    r"(?<=[\s\x{A0}])(?<=[.!?\x{2026}].)(?![\s\x{A0}])",  # after a sentence
+    r"(?<=[\s\x{A0}])(?<=[;,:)].)(?![\s\x{A0}])",  # after a part of a sentence or a statement
     r"(?<=[\s\x{A0}\x{3000}])(?![\s\x{A0}\x{3000}])",  # before a word
 )
 
@@ -29,12 +29,25 @@ def cut_pattern(limit: int = LIMIT, overlap: int = OVERLAP) -> str:
     return rf"(?s).{{1,{most}}}+\z|{far}|.{{{least},{half}}}{any_}|.{{{least},{most}}}(?!\p{{M}}|(?<=\r)\n)|.{{1,{most}}}"
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value) with the value computed once: inside a lambda an expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def pieces(document: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """Array of pieces of a text: the matches of cut_pattern, each with the last `overlap` characters of the one before.
-    A text within the limit is one piece; an empty text gives one empty piece, null gives null."""
-    parts = F.regexp_extract_all(document, F.lit(cut_pattern(limit, overlap)), F.lit(0))
-    joined = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.right(F.element_at(parts, F.greatest(i, F.lit(1)).cast("int")), F.lit(overlap)), p)))
-    return F.when(F.char_length(document) > limit, joined).when(document.isNotNull(), F.array(document))
+    """Array of the pieces of a text as structs n_pieces, piece_no (from 1), start_char (from 0), piece: the matches of
+    cut_pattern, each with the last `overlap` characters of the one before. A text within the limit is one piece; null
+    gives null."""
+    parts = F.when(F.char_length(document) > limit, F.regexp_extract_all(document, F.lit(cut_pattern(limit, overlap)), F.lit(0))).when(document.isNotNull(), F.array(document))
+    start = lambda p: F.aggregate(p, F.expr("cast(array(0) as array<bigint>)"), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.char_length(x)))
+
+    def joined(p: Column) -> Column:
+        back = lambda i: F.right(F.element_at(p, F.greatest(i, F.lit(1)).cast("int")), F.lit(overlap))
+        return _bind(start(p), lambda at: F.transform(p, lambda x, i: F.struct(
+            F.size(p).alias("n_pieces"), (i + 1).alias("piece_no"), (F.get(at, i) - F.when(i == 0, 0).otherwise(overlap)).alias("start_char"), F.when(i == 0, x).otherwise(F.concat(back(i), x)).alias("piece"),
+        )))
+
+    return _bind(parts, joined)
 
 
 def split_documents(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, oversized_only: bool = True) -> DataFrame:
@@ -48,10 +61,4 @@ def split_documents(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     """
     doc = F.col("document")
     rows = chunks.select("id", "module_path", "method_name", "document").filter(F.char_length(doc) > limit if oversized_only else doc.isNotNull())
-    cut = rows.select("id", "module_path", "method_name", pieces(doc, limit, overlap).alias("_p"))
-    sizes = F.transform("_p", lambda p, i: F.char_length(p).cast("long") - F.when(i == 0, 0).otherwise(overlap))
-    ends = F.aggregate(sizes, F.expr("cast(array(0) as array<bigint>)"), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    cut = cut.withColumns({"n_pieces": F.size("_p"), "_e": ends})
-    return cut.select("id", "module_path", "method_name", "n_pieces", F.posexplode("_p").alias("_i", "piece"), "_e").select(
-        "id", "module_path", "method_name", "n_pieces", (F.col("_i") + 1).alias("piece_no"), (F.get("_e", F.col("_i")) - F.when(F.col("_i") == 0, 0).otherwise(overlap)).alias("start_char"), "piece"
-    )
+    return rows.select("id", "module_path", "method_name", F.inline(pieces(doc, limit, overlap)))
