@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metascope.llm import contamination, splitting, syntax, tokenizer
+from metascope.llm import contamination, pii, splitting, syntax, tokenizer
 from metascope.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +65,17 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(table(spark, d, "documents")).select("doc_id", "pii_type", "start_pos").distinct()
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_documents(table(spark, d, "documents"))
+
+
 _GRAMS = "unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' '))) AS g"
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_errors, p3_rates, p3_reported, p6_ids, p6_round_trip, p7_found, p7_leaks)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_errors, p3_rates, p3_reported, p6_ids, p6_round_trip, p7_found, p7_leaks, p8_found, p8_redacted)}
 SQL: dict[str, str] = {
     "p2_found": "SELECT DISTINCT id FROM chunks WHERE length(document) > 4000",
     "p7_found": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
