@@ -248,4 +248,4 @@ def severity_col(c: Column, numbers: bool = False) -> Column:
 
 def uncomment_col(line: Column) -> Column:
     """A line of code up to a comment, with // inside quotes kept."""
-    return F.regexp_extract(line, r'^((?:"(?:[^"]|"")*+(?:"|$)|[^"/]|/(?!/))*+)', 1)
+    return F.regexp_extract(line, r'^((?:"(?:[^"]++|"")*+(?:"|$)|[^"/]++|/(?!/))*+)', 1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metascope.operators import ledger, nested, orphans
+from metascope.plans import text_queries
 from metascope.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +80,7 @@ SELECT edge_type, strftime(observed_at, '%Y-%m') AS month, CAST(sum(d) AS BIGINT
     "p5_files": f"WITH {_LEDGER} SELECT config_id, rel_path, file_path, file_id, mtime FROM work WHERE state = 'pending'",
     "p5_ledger": f"WITH {_LEDGER} SELECT config_id, state, count(*) AS items FROM work GROUP BY ALL",
 }
+
+for _more in (text_queries,):
+    QUERIES |= _more.QUERIES
+    SQL |= _more.SQL

@@ -73,6 +73,12 @@ def methods(files: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, METHODS)
 
 
+def modules(files: DataFrame) -> DataFrame:
+    """The modules of all .bsl files: config_id, rel_path, file_path, module_type, module_name, module_path."""
+    rows = files.filter(F.lower("rel_path").endswith(".bsl"))
+    return rows.select("config_id", "rel_path", "file_path", module_identity(F.col("rel_path")).alias("i")).select("config_id", "rel_path", "file_path", "i.*").distinct()
+
+
 def module_summaries(methods_: DataFrame, most: int = 200) -> DataFrame:
     """config_id, module_path, module_type, method_count and a summary that names the first `most` methods. Names are
     gathered as (line, name) pairs; the text holds at most `most` of them."""
@@ -90,7 +96,7 @@ def module_summaries(methods_: DataFrame, most: int = 200) -> DataFrame:
 
 def bare_code(body: Column) -> Column:
     """Code without comments and with empty strings. A line ends at its first //, before strings are looked at."""
-    return F.regexp_replace(F.regexp_replace(F.replace(body, F.lit("\r"), F.lit("")), "//[^\\n]*", ""), '"(?:[^"\\n]|"")*"', '""')
+    return F.regexp_replace(F.regexp_replace(F.replace(body, F.lit("\r"), F.lit("")), "//[^\\n]*", ""), '"(?:[^"\\n]++|"")*"', '""')
 
 
 _NAME = "[A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_]*"
