@@ -97,10 +97,11 @@ def module_identity(rel: Column) -> Column:
 
 
 def changed_files(files: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
-    """Files whose mtime differs from the state's, exactly, or that the state doesn't have; all with force."""
+    """Files whose mtime differs from the state's, exactly, or that the state doesn't have; all with force. Of several
+    state rows of a file the one with the latest mtime holds."""
     if force:
         return files
-    known = state.select(F.col("config_id").alias("_c"), slashes(F.col("rel_path")).alias("_p"), F.col("mtime").alias("_m")).dropDuplicates(["_c", "_p"])
+    known = state.select(F.col("config_id").alias("_c"), slashes(F.col("rel_path")).alias("_p"), F.col("mtime").alias("_m")).groupBy("_c", "_p").agg(F.max("_m").alias("_m"))
     j = files.join(known, (F.col("config_id") == F.col("_c")) & (slashes(F.col("rel_path")) == F.col("_p")), "left")
     return j.filter(F.col("_p").isNull() | ~F.col("mtime").eqNullSafe(F.col("_m"))).select(*files.columns)
 
