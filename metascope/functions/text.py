@@ -152,13 +152,22 @@ def tokens_col(c: Column) -> Column:
     return F.filter(F.split(n, " "), lambda t: t != "")
 
 
-def stem_col(t: Column) -> Column:
-    by_suffix = [F.when(t.endswith(s) & (F.char_length(t) >= len(s) + 4), F.left(t, F.char_length(t) - len(s))) for s in SUFFIXES]
-    return F.when((F.char_length(t) > 4) & t.rlike("^[а-яё]+$"), F.coalesce(*by_suffix, t)).otherwise(t)
+#: The ways to cut an ending, in order; the first that matches a whole word holds, as each has its own group.
+_ENDINGS = "(?<![^ ])(?:" + "|".join(f"([а-яё]{{4,}}){e}" for e in SUFFIXES) + ")(?![^ ])"
+_KEPT = "".join(f"${i}" for i in range(1, len(SUFFIXES) + 1))
+
+
+def stemmed_col(normalized: Column) -> Column:
+    """A normalized text with every word stemmed: one pass of one pattern."""
+    return F.regexp_replace(normalized, _ENDINGS, _KEPT)
+
+
+def stems_of(normalized: Column) -> Column:
+    return F.filter(F.split(stemmed_col(normalized), " "), lambda t: t != "")
 
 
 def stems_col(c: Column) -> Column:
-    return F.transform(tokens_col(c), stem_col)
+    return stems_of(normalize_col(c))
 
 
 def keywords_col(c: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
@@ -214,17 +223,24 @@ def specificity_col(stems_: Column, kw: list[str], phrase: str = "") -> Column:
     return F.when(joined == "", 0.0).otherwise(F.greatest(F.lit(0.0), base + F.lit(0.12) * hits - extra))
 
 
-def identifier_col(c: Column, query: str) -> Column:
+def identifier_of(a: Column, st: Column, query: str) -> Column:
+    """T13 over a normalized text and its stems, which are computed once."""
     b = normalize(query)
     if not b:
         return F.lit(0.0)
     kw = keywords(query, ())
-    phrase, cb, a, st = " ".join(kw), b.replace(" ", ""), normalize_col(c), stems_col(c)
+    phrase, cb = " ".join(kw), b.replace(" ", "")
     ca = F.replace(a, F.lit(" "), F.lit(""))
     base = F.when(ca == cb, 5.0).when(a == b, 4.0).when(ca.startswith(cb) | F.startswith(F.lit(cb), ca), 2.3).when(F.contains(a, F.lit(b)) | F.contains(F.lit(b), a), 1.4).otherwise(0.0)
     return F.when(a == "", 0.0).otherwise(base + F.lit(1.8) * overlap_col(st, kw, phrase) + F.lit(1.2) * specificity_col(st, kw, phrase))
 
 
+def identifier_col(c: Column, query: str) -> Column:
+    """T13 of one column; bound by lambdas, so that the text is normalized once."""
+    n = normalize_col(c)
+    return F.element_at(F.transform(F.array(F.struct(n.alias("n"), stems_of(n).alias("s"))), lambda x: identifier_of(x["n"], x["s"], query)), 1)
+
+
 def alias_overlap_col(left: Column, right: Column) -> Column:
     """Greedy in the order of both arrays."""
     akin = lambda a, b: (a == b) | ((F.char_length(a) >= 5) & (F.char_length(b) >= 5) & (F.startswith(a, b) | F.startswith(b, a)))

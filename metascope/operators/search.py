@@ -67,8 +67,18 @@ PROFILES = {
 
 
 def prepared(df: DataFrame, *columns: str) -> DataFrame:
-    """Adds the stems of text columns as _st_<column>, so that they are computed once for all parts of a score."""
-    return df.withColumns({f"_st_{c}": t.stems_col(F.col(c)) for c in columns})
+    """Adds each text column's normalized form and stems as _n_<column> and _st_<column>: computed once for all parts of a
+    score, and kept apart by the projection, so that plans stay small."""
+    df = df.withColumns({f"_n_{c}": t.normalize_col(F.col(c)) for c in columns})
+    return df.withColumns({f"_st_{c}": t.stems_of(F.col(f"_n_{c}")) for c in columns})
+
+
+def _like(column: str, query: str) -> Column:
+    return t.identifier_of(F.col(f"_n_{column}"), F.col(f"_st_{column}"), query)
+
+
+def _same(column: str, name: str) -> Column:
+    return F.col(f"_n_{column}") == t.normalize(name)
 
 
 def _text(column: str, kw: list[str], phrase: str, over: float, special: float = 0.0, label: str | None = None) -> Parts:
@@ -109,7 +119,7 @@ def rule_parts(q: Question, joined: Column, kind: Column, each: float, two: floa
 def lookup_parts(q: Question, query: str, explain: bool = False) -> Parts:
     """an object's score as the answer to one lookup query."""
     kind = F.col("object_type")
-    parts = [("base", F.lit(1.5)), ("name", t.identifier_col(F.col("object_name"), query) * 1.8), ("synonym", t.identifier_col(F.col("synonym"), query) * 1.4)]
+    parts = [("base", F.lit(1.5)), ("name", _like("object_name", query) * 1.8), ("synonym", _like("synonym", query) * 1.4)]
     if q.kind:
         parts.append(("type", F.when(kind == q.kind, 0.4).otherwise(0.0)))
     if q.structural:
@@ -141,46 +151,45 @@ def code_parts(q: Question, profile: str) -> Parts:
 
 
 def module_parts(name: str, module_type: str | None = None) -> Parts:
-    """F12."""
-    parts = [("path", t.identifier_col(F.col("module_path"), name) * 1.8), ("name", t.identifier_col(F.col("module_name"), name) * 2.0)]
+    """F12. Like all scores below, over prepared() columns: module_path, module_name."""
+    parts = [("path", _like("module_path", name) * 1.8), ("name", _like("module_name", name) * 2.0)]
     if module_type:
         parts.append(("type", F.when(F.col("module_type") == module_type, 0.7).otherwise(-0.3)))
-    same = lambda c: t.normalize_col(F.col(c)) == t.normalize(name)
-    return [*parts, ("exact", F.when(same("module_path"), 5.0).when(same("module_name"), 4.2).otherwise(0.0))]
+    return [*parts, ("exact", F.when(_same("module_path", name), 5.0).when(_same("module_name", name), 4.2).otherwise(0.0))]
 
 
 def object_lookup_parts(name: str, kind: str | None = None) -> Parts:
     """An object by its name; its very id is above all others."""
-    parts = [("name", t.identifier_col(F.col("object_name"), name) * 1.8), ("synonym", t.identifier_col(F.col("synonym"), name) * 1.4)]
+    parts = [("name", _like("object_name", name) * 1.8), ("synonym", _like("synonym", name) * 1.4)]
     if kind:
         parts.append(("type", F.when(F.col("object_type") == kind, 0.4).otherwise(0.0)))
         parts.append(("id", F.when((F.col("object_type") == kind) & (F.col("object_name") == name), 999.0).otherwise(0.0)))
-    return [*parts, ("exact", F.when(t.normalize_col(F.col("object_name")) == t.normalize(name), 4.5).otherwise(0.0))]
+    return [*parts, ("exact", F.when(_same("object_name", name), 4.5).otherwise(0.0))]
 
 
 def form_parts(name: str, owner: str | None = None, owner_type: str | None = None) -> Parts:
-    """F17."""
-    parts = [("form", t.identifier_col(F.col("form_name"), name) * 2.2), ("exact", F.when(t.normalize_col(F.col("form_name")) == t.normalize(name), 4.5).otherwise(0.0))]
+    """form_name, owner_name, owner_object_type."""
+    parts = [("form", _like("form_name", name) * 2.2), ("exact", F.when(_same("form_name", name), 4.5).otherwise(0.0))]
     if owner:
-        parts.append(("owner", t.identifier_col(F.col("owner_name"), owner) * 1.5))
+        parts.append(("owner", _like("owner_name", owner) * 1.5))
     if owner_type:
-        parts.append(("owner_type", t.identifier_col(F.col("owner_object_type"), owner_type) * 1.2 + F.when(F.col("owner_object_type") == owner_type, 0.4).otherwise(0.0)))
+        parts.append(("owner_type", _like("owner_object_type", owner_type) * 1.2 + F.when(F.col("owner_object_type") == owner_type, 0.4).otherwise(0.0)))
     return parts
 
 
 def owner_parts(owner: str, owner_type: str | None = None) -> Parts:
     """F17, forms by their owner."""
-    parts = [("owner", t.identifier_col(F.col("owner_name"), owner) * 2.0), ("exact", F.when(t.normalize_col(F.col("owner_name")) == t.normalize(owner), 4.0).otherwise(0.0))]
+    parts = [("owner", _like("owner_name", owner) * 2.0), ("exact", F.when(_same("owner_name", owner), 4.0).otherwise(0.0))]
     if owner_type:
-        parts.append(("owner_type", t.identifier_col(F.col("owner_object_type"), owner_type) * 1.4 + F.when(F.col("owner_object_type") == owner_type, 0.6).otherwise(0.0)))
+        parts.append(("owner_type", _like("owner_object_type", owner_type) * 1.4 + F.when(F.col("owner_object_type") == owner_type, 0.6).otherwise(0.0)))
     return parts
 
 
 def method_parts(name: str, module_path: str | None = None, module_type: str | None = None, vector: bool = False) -> Parts:
-    """F18."""
-    parts = [("method", t.identifier_col(F.col("method_name"), name) * (2.5 if vector else 2.2)), ("exact", F.when(F.lower("method_name") == name.lower(), 5.0).otherwise(0.0))]
+    """method_name, module_path."""
+    parts = [("method", _like("method_name", name) * (2.5 if vector else 2.2)), ("exact", F.when(F.lower("method_name") == name.lower(), 5.0).otherwise(0.0))]
     if module_path:
-        parts.append(("module", t.identifier_col(F.col("module_path"), module_path) * (1.6 if vector else 1.5)))
+        parts.append(("module", _like("module_path", module_path) * (1.6 if vector else 1.5)))
     if module_type:
         parts.append(("type", F.when(F.col("module_type") == module_type, 0.5).otherwise(0.0)))
     return parts
@@ -188,7 +197,7 @@ def method_parts(name: str, module_path: str | None = None, module_type: str | N
 
 def command_parts(q: Question) -> Parts:
     """F13. Needs the stems of title, tooltip, form_name and document."""
-    parts = [("name", t.identifier_col(F.col("command_name"), q.text) * 1.8), ("action", t.identifier_col(F.col("action"), q.text) * 1.4)]
+    parts = [("name", _like("command_name", q.text) * 1.8), ("action", _like("action", q.text) * 1.4)]
     for c, w in (("title", 1.2), ("tooltip", 0.8), ("form_name", 0.9), ("document", 0.5)):
         parts += _text(c, q.kw, q.phrase, w)
     return parts
@@ -196,7 +205,7 @@ def command_parts(q: Question) -> Parts:
 
 def subscription_parts(q: Question) -> Parts:
     """F14. Needs the stems of synonym, sources_text and document."""
-    parts = [("name", t.identifier_col(F.col("subscription_name"), q.text) * 1.8), ("handler", t.identifier_col(F.col("handler"), q.text) * 1.5), ("event", t.identifier_col(F.col("event"), q.text) * 1.2)]
+    parts = [("name", _like("subscription_name", q.text) * 1.8), ("handler", _like("handler", q.text) * 1.5), ("event", _like("event", q.text) * 1.2)]
     for c, w in (("synonym", 1.2), ("sources_text", 1.0), ("document", 0.5)):
         parts += _text(c, q.kw, q.phrase, w)
     return parts
@@ -210,7 +219,7 @@ def scored(df: DataFrame, parts: Parts, vector: Column | None = None, explain: b
     out = out.withColumn("score", F.round(F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + p["value"]), 6))
     if explain:
         out = out.withColumn("components", F.filter("_parts", lambda p: F.abs(p["value"]) >= 0.05))
-    return out.drop("_parts", *[c for c in df.columns if c.startswith("_st_")])
+    return out.drop("_parts", *[c for c in df.columns if c.startswith(("_st_", "_n_"))])
 
 
 def top(df: DataFrame, limit: int, *ties: str, least: float | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metascope.functions import text as t
 from metascope.operators import search, vectors
 from metascope.plans import sql_text as s
 from metascope.runtime import table
@@ -67,8 +66,8 @@ def object_lexical(spark: SparkSession, d: str) -> DataFrame:
 
 def object_lookup(spark: SparkSession, d: str) -> DataFrame:
     """objects by how like their name is to what is looked up, from 1 on."""
-    rows = table(spark, d, "chunks").filter("chunk_type = 'metadata'").select("config_id", "object_type", "object_name", "synonym").distinct()
-    return search.scored(rows, [("name", t.identifier_col(F.col("object_name"), "журнал рецептур") * 1.8), ("synonym", t.identifier_col(F.col("synonym"), "журнал рецептур") * 1.4)]).filter("score >= 1")
+    rows = search.prepared(table(spark, d, "chunks").filter("chunk_type = 'metadata'").select("config_id", "object_type", "object_name", "synonym").distinct(), "object_name", "synonym")
+    return search.scored(rows, search.object_lookup_parts("журнал рецептур")[:2]).filter("score >= 1")
 
 
 def fusion_max(spark: SparkSession, d: str) -> DataFrame:
