@@ -92,20 +92,47 @@ def _loads_deep(text: str):
         return None
 
 
-def labelled(value) -> Iterator[tuple[tuple[int, ...], str, object]]:
-    """(label, field, node) of every node in document order. A label is the parent's label and the ordinal among its
-    children, from 1; the items of a list take the list's field. JSON text in one of LISTS counts as what it says."""
-    stack: list = [((), "", value)]
+class Label:
+    """A Dewey label: the parent's label and the ordinal among its children, from 1. Truncation is a step to `up`; what it
+    would find is kept: `owner`, the nearest label at or above that names an element or a form, and `form`, the nearest
+    form, so that a parent is found at once at any depth."""
+
+    __slots__ = ("up", "ordinal", "field", "node", "kind", "key", "owner", "form")
+
+    def __init__(self, up: Label | None, ordinal: int, field: str, node):
+        self.up, self.ordinal, self.field, self.node, self.kind, self.key = up, ordinal, field, node, "", ""
+        self.owner: Label | None = up.owner if up else None
+        self.form: Label | None = up.form if up else None
+
+    def names(self, kind: str, key: str) -> None:
+        self.kind, self.key, self.owner = kind, key, self
+        if kind != "element":
+            self.form = self
+
+    def __str__(self) -> str:
+        out, at = [], self
+        while at.up is not None:
+            out.append(str(at.ordinal))
+            at = at.up
+        return ".".join(reversed(out))
+
+
+def labelled(value) -> Iterator[Label]:
+    """The label of every node in document order; the items of a list take the list's field. JSON text in one of LISTS
+    counts as what it says."""
+    stack = [Label(None, 0, "", value)]
     while stack:
-        label, field, node = stack.pop()
-        if isinstance(node, str) and field in LISTS and node.lstrip()[:1] in _OPEN:
-            inner = _loads(node)
-            node = node if inner is None else inner
-        yield label, field, node
-        if isinstance(node, dict):
-            stack.extend([((*label, i), k, v) for i, (k, v) in enumerate(node.items(), 1)][::-1])
-        elif isinstance(node, list):
-            stack.extend([((*label, i), field, v) for i, v in enumerate(node, 1)][::-1])
+        at = stack.pop()
+        if at.up is not None:  # what the nodes above came to name
+            at.owner, at.form = at.up.owner, at.up.form
+        if isinstance(at.node, str) and at.field in LISTS and at.node.lstrip()[:1] in _OPEN:
+            inner = _loads(at.node)
+            at.node = at.node if inner is None else inner
+        yield at
+        if isinstance(at.node, dict):
+            stack.extend([Label(at, i, k, v) for i, (k, v) in enumerate(at.node.items(), 1)][::-1])
+        elif isinstance(at.node, list):
+            stack.extend([Label(at, i, at.field, v) for i, v in enumerate(at.node, 1)][::-1])
 
 
 def _text(x) -> str:
@@ -129,60 +156,48 @@ def _handlers(x) -> list[str]:
     return [_text(x)] if _text(x) else []
 
 
-def flat_items(record_id, payload: str | None) -> list[tuple]:
-    """The rows of ITEMS of one record; none if the payload is null or not complete JSON."""
-    value = _loads(payload.lstrip("﻿")) if isinstance(payload, str) else None
+def flat_items(record_id, payload: str | None, labels: bool = True) -> list[tuple]:
+    """The rows of ITEMS of one record; none if the payload is null or not complete JSON. Without labels these are null,
+    and the work is linear in the payload whatever its depth."""
+    value = _loads(payload.lstrip("\ufeff")) if isinstance(payload, str) else None
     if value is None:
         return []
-    owner: dict[tuple[int, ...], tuple[str, str]] = {}  # label -> (kind, key) of the nodes that can be parents
     rows: list[tuple] = []
-    fields: dict[tuple[int, ...], tuple[str, object]] = {}
-
-    def above(label: tuple[int, ...], kinds: tuple[str, ...]) -> tuple[tuple[int, ...], str] | None:
-        """Truncates the label until it names a node of one of these kinds."""
-        for n in range(len(label) - 1, -1, -1):
-            hit = owner.get(label[:n])
-            if hit and hit[0] in kinds:
-                return label[:n], hit[1]
-        return None
 
-    def row(label, up, kind, key, name=None, item_type=None, event=None, handler=None) -> None:
-        rows.append((record_id, ".".join(map(str, label)), ".".join(map(str, up[0])) if up else None, kind, key, up[1] if up else None, name, item_type, event, handler))
+    def row(at: Label, up: Label | None, kind, key, name=None, item_type=None, event=None, handler=None) -> None:
+        rows.append((record_id, str(at) if labels else None, str(up) if labels and up else None, kind, key, up.key if up else None, name, item_type, event, handler))
 
-    for label, field, node in labelled(value):
-        fields[label] = (field, node)
-        parent_field, parent_node = fields.get(label[:-1], ("", None)) if label else ("", None)
+    for at in labelled(value):
+        node, field, above, owner = at.node, at.field, at.up, at.owner
+        within = above.node if above is not None else None
+        is_form = owner is not None and owner.kind in ("element", "form")
         if isinstance(node, dict):
             if field != "elements" and "form_name" in node:
-                owner[label] = ("form", _text(node["form_name"]))
-                row(label, None, "form", owner[label][1], owner[label][1], _text(node.get("owner")) or None)
-            elif field == "subscription" or (label == () and "sources" in node):
-                key = (_handlers(node.get("handler")) or [""])[0]
-                owner[label] = ("subscription", key)
-                row(label, None, "subscription", key, _text(node.get("name")) or None, None, _text(node.get("event")) or None, key)
-            elif field == "elements" and (up := above(label, ("element", "form"))):
-                form = above(label, ("form",))
-                form_name = form[1] if form else up[1]
+                at.names("form", _text(node["form_name"]))
+                row(at, None, "form", at.key, at.key, _text(node.get("owner")) or None)
+            elif field == "subscription" or (above is None and "sources" in node):
+                at.names("subscription", (_handlers(node.get("handler")) or [""])[0])
+                row(at, None, "subscription", at.key, _text(node.get("name")) or None, None, _text(node.get("event")) or None, at.key)
+            elif field == "elements" and is_form:
                 name = _text(node.get("element_name"))
-                key = f"{form_name}/{_text(node.get('element_id')) or name}"
-                owner[label] = ("element", key)
-                row(label, up, "element", key, name or None, _text(node.get("element_type")) or None)
-            elif field == "commands" and (up := above(label, ("form",))):
+                at.names("element", f"{at.form.key}/{_text(node.get('element_id')) or name}")
+                row(at, owner, "element", at.key, name or None, _text(node.get("element_type")) or None)
+            elif field == "commands" and is_form:
                 name = _text(node.get("command_name"))
-                row(label, up, "command", f"{up[1]}/{name}", name, None, None, _text(node.get("action")) or None)
+                row(at, at.form, "command", f"{at.form.key}/{name}", name, None, None, _text(node.get("action")) or None)
         # handlers: an item of events with event and handler, or a member of an object by event name
-        if field == "events" and isinstance(node, dict) and "event" in node and (up := above(label, ("element", "form"))):
+        if field == "events" and isinstance(node, dict) and "event" in node and is_form:
             for h in _handlers(node.get("handler")):
-                row(label, up, "handler", f"{_text(node['event'])}={h}", None, None, _text(node["event"]), h)
-        elif isinstance(parent_node, dict) and not isinstance(fields.get(label[:-2], ("", None))[1], str) and (parent_field == "by_event" or (parent_field == "events" and not {"event", "by_event"} & parent_node.keys())) and (up := above(label, ("element", "form"))):
+                row(at, owner, "handler", f"{_text(node['event'])}={h}", None, None, _text(node["event"]), h)
+        elif is_form and isinstance(within, dict) and (above.field == "by_event" or (above.field == "events" and not {"event", "by_event"} & within.keys())):
             for h in _handlers(node):
-                row(label, up, "handler", f"{field}={h}", None, None, field, h)
-        elif field in ("sources", "type", "type_set", "group") and not isinstance(node, (dict, list)) and _text(node) and (up := above(label, ("subscription",))):
-            row(label, up, "source", _text(node), _text(node), field)
+                row(at, owner, "handler", f"{field}={h}", None, None, field, h)
+        elif field in ("sources", "type", "type_set", "group") and not isinstance(node, (dict, list)) and _text(node) and owner is not None and owner.kind == "subscription":
+            row(at, owner, "source", _text(node), _text(node), field)
     return rows
 
 
-def flatten_records(records: DataFrame) -> DataFrame:
+def flatten_records(records: DataFrame, labels: bool = True) -> DataFrame:
     """Every item of every record with its Dewey label and its parent's, in the columns of ITEMS.
 
     item_kind: form, element, command, handler, subscription, source. A record that was delivered twice, identical in
@@ -193,7 +208,7 @@ def flatten_records(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for i, p in zip(b["record_id"], b["payload"]) for r in flat_items(None if pd.isna(i) else i, p)]
+            rows = [r for i, p in zip(b["record_id"], b["payload"]) for r in flat_items(None if pd.isna(i) else i, p, labels)]
             out = pd.DataFrame(rows, columns=_COLUMNS)
             out["record_id"] = out["record_id"].astype("Int64")
             yield out
@@ -218,4 +233,4 @@ def record_tables(records: DataFrame) -> dict[str, DataFrame]:
 
 def found_items(records: DataFrame) -> DataFrame:
     """record_id, item_kind, item_key, parent_key of the elements, handlers and sources, without repetitions."""
-    return flatten_records(records).filter(F.col("item_kind").isin("element", "handler", "source")).select("record_id", "item_kind", "item_key", "parent_key").distinct()
+    return flatten_records(records, labels=False).filter(F.col("item_kind").isin("element", "handler", "source")).select("record_id", "item_kind", "item_key", "parent_key").distinct()
