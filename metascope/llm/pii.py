@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -352,11 +353,12 @@ class Model:
         """The spans that are likely enough, of those that overlap the likeliest, then the longest, then the first."""
         scored = sorted(((self.probability(s.kind, s.votes), s) for s in spans), key=lambda x: (-round(x[0], 9), -(x[1].end - x[1].start), x[1].start, x[1].kind))
         kept: list[Span] = []
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # in order, without overlaps
         for p, s in scored:
-            if p >= least and not any(a < s.end and s.start < b for a, b in taken):
+            at = bisect_left(taken, (s.start, s.end))
+            if p >= least and not (at and taken[at - 1][1] > s.start) and not (at < len(taken) and taken[at][0] < s.end):
                 kept.append(s)
-                taken.append((s.start, s.end))
+                taken.insert(at, (s.start, s.end))
         return sorted(kept, key=lambda s: s.start)
 
 
@@ -369,7 +371,7 @@ def scan(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [(i, [{"kind": s.kind, "start": s.start, "end": s.end, "votes": s.votes} for s in c]) for i, t in zip(b["doc_id"], b["text"]) if (c := candidates(t if isinstance(t, str) else None))]
-            yield pd.DataFrame({"doc_id": pd.array([i for i, _ in found], dtype="Int64"), "spans": [s for _, s in found]})
+            yield pd.DataFrame({"doc_id": pd.array([i for i, _ in found], dtype="Int64"), "spans": pd.Series([s for _, s in found], dtype=object)})
 
     return documents.select("doc_id", "text").filter("text is not null").mapInPandas(run, _SPANS)
 
