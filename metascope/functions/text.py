@@ -152,14 +152,15 @@ def tokens_col(c: Column) -> Column:
     return F.filter(F.split(n, " "), lambda t: t != "")
 
 
-#: The ways to cut an ending, in order; the first that matches a whole word holds, as each has its own group.
-_ENDINGS = "(?<![^ ])(?:" + "|".join(f"([а-яё]{{4,}}){e}" for e in SUFFIXES) + ")(?![^ ])"
-_KEPT = "".join(f"${i}" for i in range(1, len(SUFFIXES) + 1))
+assert [len(e) for e in SUFFIXES] == sorted((len(e) for e in SUFFIXES), reverse=True)
+#: A word of Cyrillic letters and its longest ending that leaves four: as SUFFIXES go from long to short, that is the first
+#: of them that fits. The reluctant stem meets the longest ending first.
+_ENDING = f"(?<![^ ])([а-яё]{{4,}}?)(?:{'|'.join(SUFFIXES)})(?![^ ])"
 
 
 def stemmed_col(normalized: Column) -> Column:
     """A normalized text with every word stemmed: one pass of one pattern."""
-    return F.regexp_replace(normalized, _ENDINGS, _KEPT)
+    return F.regexp_replace(normalized, _ENDING, "$1")
 
 
 def stems_of(normalized: Column) -> Column:
@@ -170,10 +171,14 @@ def stems_col(c: Column) -> Column:
     return stems_of(normalize_col(c))
 
 
-def keywords_col(c: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
-    kept = F.filter(stems_col(c), lambda t: ((F.char_length(t) > 1) | t.rlike("^[0-9]$")))
+def keywords_of(stems_: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
     stop = sorted(stopwords)
-    return F.array_distinct(F.filter(kept, lambda t: ~t.isin(stop)) if stop else kept)
+    kept = F.filter(stems_, lambda t: ((F.char_length(t) > 1) | t.rlike("^[0-9]$")) & (~t.isin(stop) if stop else F.lit(True)))
+    return F.array_distinct(kept)
+
+
+def keywords_col(c: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
+    return keywords_of(stems_col(c), stopwords)
 
 
 def object_type_col(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from metascope.functions.constants import FOLDERS
 from metascope.operators.skew import salted_join
+from metascope.runtime import cut
 from metascope.sources.modules import call_candidates, metadata_usages
 
 #: Attributes of which one, given anywhere, makes a node more than a placeholder.
@@ -137,7 +138,7 @@ def build_graph(objects: DataFrame, forms: DataFrame, methods: DataFrame, module
     method of that name in the form's own module, elements to the element above or to the form and to commands that
     exist, calls to their only target, and every object that is named but not described becomes a placeholder. modules: all modules, with those that hold no method."""
     order = lambda df, *within: df.withColumn("_order", F.struct(F.col("rel_path"), *[F.coalesce(w, F.lit(0)).cast("int") for w in within], *[F.lit(0)] * (2 - len(within))).cast("struct<p:string,i:int,j:int>"))
-    o, f, m = order(objects), order(forms), order(methods, F.col("start_line"))
+    o, f, m = order(cut(objects)), order(cut(forms)), order(cut(methods), F.col("start_line"))  # each file is parsed once
     meta = lambda kind, name: _id("metadata", kind, name)
     nodes, edges = [], []
     # objects and what they refer to
@@ -219,8 +220,6 @@ def build_graph(objects: DataFrame, forms: DataFrame, methods: DataFrame, module
 def element_tree(edges: DataFrame, top: DataFrame, edge_type: str = "contains_child_element", most_levels: int = 1000) -> DataFrame:
     """Every element below the given top ones, level by level: config_id, root_id, id, depth. An element is taken at its
     first level below each root, so cycles end. One join a level over the edges of that type."""
-    from metascope.runtime import cut
-
     step = cut(edges.filter(F.col("edge_type") == edge_type).select("config_id", F.col("from_id").alias("id"), F.col("to_id").alias("_to")).filter("id is not null and _to is not null").distinct())
     level = cut(top.select("config_id", F.col("id").alias("root_id"), "id").distinct().withColumn("depth", F.lit(0)))
     out = level

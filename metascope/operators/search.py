@@ -67,10 +67,11 @@ PROFILES = {
 
 
 def prepared(df: DataFrame, *columns: str) -> DataFrame:
-    """Adds each text column's normalized form and stems as _n_<column> and _st_<column>: computed once for all parts of a
-    score, and kept apart by the projection, so that plans stay small."""
-    df = df.withColumns({f"_n_{c}": t.normalize_col(F.col(c)) for c in columns})
-    return df.withColumns({f"_st_{c}": t.stems_of(F.col(f"_n_{c}")) for c in columns})
+    """Adds each text column's normalized form and stems as _n_<column> and _st_<column>, computed once for all parts of a
+    score. They come out of a generator, through which neither filters nor projections are merged: else a filter on the
+    score would bring them in again for every mention."""
+    n = df.select("*", F.inline(F.array(F.struct(*[t.normalize_col(F.col(c)).alias(f"_n_{c}") for c in columns]))))
+    return n.select("*", F.inline(F.array(F.struct(*[t.stems_of(F.col(f"_n_{c}")).alias(f"_st_{c}") for c in columns]))))
 
 
 def _like(column: str, query: str) -> Column:

@@ -33,7 +33,7 @@ def doc_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
     kw = t.keywords(QUESTION)
-    st = table(spark, d, "documents").select("doc_id", t.stems_col(F.col("text")).alias("st"))
+    st = table(spark, d, "documents").select("doc_id", F.inline(F.array(F.struct(t.stems_col(F.col("text")).alias("st")))))  # a generator keeps filters on the score above
     return st.select("doc_id", F.round(t.overlap_col(F.col("st"), kw, " ".join(kw)), 6).alias("score"))
 
 
@@ -60,7 +60,9 @@ def classify_first_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def intent_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", t.normalize_col(F.col("text")).alias("n"), t.keywords_col(F.col("text")).alias("k"), t.keywords_col(F.col("text"), CODE_STOPWORDS).alias("c"))
+    once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))
+    rows = table(spark, d, "documents").select("doc_id", once(t.normalize_col(F.col("text")), "n")).select("doc_id", "n", once(t.stems_of(F.col("n")), "st"))
+    rows = rows.select("doc_id", "n", t.keywords_of(F.col("st")).alias("k"), t.keywords_of(F.col("st"), CODE_STOPWORDS).alias("c"))
     return rows.select(
         "doc_id", t.contains_any_col(F.col("n"), STRUCTURE_PHRASES).alias("structural"), t.contains_any_col(F.col("n"), REPORT_PHRASES).alias("report"),
         (t.akin_count_col(F.col("c"), VALIDATION_PREFIXES) >= 2).alias("validation"), t.akin_any_col(F.col("k"), REGISTER_PREFIXES).alias("register"),

@@ -103,27 +103,34 @@ _NAME = "[A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_]*"
 _NOT_IN_WORD = "(?<![A-Za-zА-Яа-яЁё0-9_])"
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def call_candidates(body: Column) -> Column:
     """Array of struct(kind, module_name, method_name), each once: qualified A.B( and local B( not after a dot;
     keywords are no calls."""
-    code = bare_code(body)
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(code, F.lit(rf"{_NOT_IN_WORD}({_NAME})\.({_NAME})\s*\("), F.lit(1)).alias("m"), F.regexp_extract_all(code, F.lit(rf"{_NOT_IN_WORD}({_NAME})\.({_NAME})\s*\("), F.lit(2)).alias("n")
-    )
     no_call = lambda x: F.lower(x).isin(*CALL_KEYWORDS)
-    qualified = F.transform(F.filter(pairs, lambda p: ~no_call(p["m"]) & ~no_call(p["n"])), lambda p: F.struct(F.lit("qualified").alias("kind"), p["m"].alias("module_name"), p["n"].alias("method_name")))
-    single = F.regexp_extract_all(code, F.lit(rf"(?<![A-Za-zА-Яа-яЁё0-9_.])({_NAME})\s*\("), F.lit(1))
-    local = F.transform(F.filter(single, lambda n: ~no_call(n)), lambda n: F.struct(F.lit("local").alias("kind"), F.lit("").alias("module_name"), n.alias("method_name")))
-    return F.array_distinct(F.concat(qualified, local))
+    call = lambda kind, m, n: F.struct(kind.alias("kind"), m.alias("module_name"), n.alias("method_name"))
+
+    def found(code: Column) -> Column:
+        pairs = F.regexp_extract_all(code, F.lit(rf"{_NOT_IN_WORD}({_NAME}\.{_NAME})\s*\("), F.lit(1))
+        single = F.regexp_extract_all(code, F.lit(rf"(?<![A-Za-zА-Яа-яЁё0-9_.])({_NAME})\s*\("), F.lit(1))
+        qualified = F.transform(F.array_distinct(pairs), lambda p: call(F.lit("qualified"), F.split_part(p, F.lit("."), F.lit(1)), F.split_part(p, F.lit("."), F.lit(2))))
+        local = F.transform(F.array_distinct(single), lambda n: call(F.lit("local"), F.lit(""), n))
+        return F.filter(F.concat(qualified, local), lambda c: ~no_call(c["module_name"]) & ~no_call(c["method_name"]))
+
+    return _bind(bare_code(body), found)
 
 
 def metadata_usages(body: Column) -> Column:
     """Array of struct(namespace, object_type, object_name), each once: namespace.Name, letter case matters."""
-    code, names = bare_code(body), "|".join(sorted(NAMESPACES, key=len, reverse=True))
-    pattern = F.lit(rf"{_NOT_IN_WORD}({names})\.({_NAME})")
+    names = "|".join(sorted(NAMESPACES, key=len, reverse=True))
     types = F.create_map(*[F.lit(x) for kv in NAMESPACES.items() for x in kv])
-    pairs = F.arrays_zip(F.regexp_extract_all(code, pattern, F.lit(1)).alias("s"), F.regexp_extract_all(code, pattern, F.lit(2)).alias("n"))
-    return F.array_distinct(F.transform(pairs, lambda p: F.struct(p["s"].alias("namespace"), types[p["s"]].alias("object_type"), p["n"].alias("object_name"))))
+    hits = F.array_distinct(F.regexp_extract_all(bare_code(body), F.lit(rf"{_NOT_IN_WORD}((?:{names})\.{_NAME})"), F.lit(1)))
+    part = lambda p, i: F.split_part(p, F.lit("."), F.lit(i))
+    return F.transform(hits, lambda p: F.struct(part(p, 1).alias("namespace"), types[part(p, 1)].alias("object_type"), part(p, 2).alias("object_name")))
 
 
 def type_references(text: Column) -> Column:
