@@ -194,14 +194,18 @@ def contains_any_col(normalized: Column, phrases: Iterable[str]) -> Column:
     return F.reduce(F.array(*[F.lit(p) for p in phrases]), F.lit(False), lambda acc, p: acc | F.contains(normalized, p))
 
 
+def _akin_pattern(prefix: str) -> str:
+    """A word that begins with the prefix, or that the prefix begins with."""
+    return f"(?<![^ ])(?:{prefix}|(?:{'|'.join(prefix[:i] for i in range(1, len(prefix)))})(?![^ ]))"
+
+
 def akin_any_col(words: Column, prefixes: Iterable[str]) -> Column:
-    known = F.array(*[F.lit(p) for p in prefixes])
-    return F.exists(words, lambda w: F.exists(known, lambda p: F.startswith(w, p) | F.startswith(p, w)))
+    return F.array_join(words, " ").rlike("|".join(map(_akin_pattern, prefixes)))
 
 
 def akin_count_col(words: Column, prefixes: Iterable[str]) -> Column:
-    known = F.array(*[F.lit(p) for p in prefixes])
-    return F.size(F.filter(known, lambda p: F.exists(words, lambda w: F.startswith(w, p) | F.startswith(p, w))))
+    joined = F.array_join(words, " ")
+    return sum((joined.rlike(_akin_pattern(p)).cast("int") for p in prefixes), F.lit(0))
 
 
 def overlap_col(stems_: Column, kw: list[str], phrase: str = "") -> Column:

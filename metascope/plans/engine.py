@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from metascope.functions import text as t
 from metascope.operators import graph, impact, search, vectors
 from metascope.operators.ledger import newest_versions
-from metascope.sources import descriptors, exports, modules
+from metascope.sources import descriptors, exports, language_server, modules
 from metascope.sources.sinks import TableStore, write_graph
 
 TABLES = ("nodes", "edges", "chunks", "configs", "export_files", "index_state", "index_runs", "diagnostics")
@@ -317,7 +317,7 @@ class Engine:
 
     def list_configurations(self) -> DataFrame:
         """W12."""
-        return self.tables["configs"].withColumn("active", F.col("config_id") == self.config_id)
+        return self.tables["configs"].distinct().withColumn("active", F.col("config_id") == self.config_id)
 
     # --- validation and status
     def validate_bsl(self, path: str) -> DataFrame:
@@ -346,12 +346,17 @@ class Engine:
         ids = self.nodes_of("method").join(c.select("file_path").distinct(), "file_path", "left_semi").select("config_id", "id")
         return impact.post_change_status(v, impact.impact_counts(self.edges, ids), self._fresh(c), c)
 
-    def bsl_ls_status(self, binary: str | None = None) -> dict:
+    def bsl_ls_status(self, settings: dict | None = None) -> dict:
         """V9: whether a language server is there; it is not needed for anything else."""
-        import shutil
-
-        found = shutil.which(binary or "bsl-language-server")
-        return {"available": found is not None, "binary": found or "", "status": "not_run" if found else "unavailable"}
+        return language_server.server_status(settings)
+
+    def analyze_with_server(self, paths: list[str], settings: dict | None = None) -> tuple[str, DataFrame]:
+        """V2, V3: the language server's status and its findings in a few modules, at most 200."""
+        if len(paths) > 200:
+            raise ValueError("at most 200 modules in one request")
+        hit = self.files.filter(exports.slashes(F.col("rel_path")).isin(*[x.replace("\\", "/") for x in paths])).select("rel_path", "content").collect()
+        done = language_server.analyze({r["rel_path"]: bytes(r["content"]) for r in hit}, settings)
+        return done.status, modules.report_diagnostics(self.spark.createDataFrame([(done.report,)] if done.report else [], "report string"))
 
     def embedding_status(self) -> dict:
         """V10."""

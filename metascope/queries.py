@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metascope.operators import ledger, nested, orphans
-from metascope.plans import export_queries, graph_queries, search_queries, text_queries
+from metascope.plans import export_queries, graph_queries, search_queries, text_queries, tool_queries
 from metascope.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,6 @@ SELECT edge_type, strftime(observed_at, '%Y-%m') AS month, CAST(sum(d) AS BIGINT
     "p5_ledger": f"WITH {_LEDGER} SELECT config_id, state, count(*) AS items FROM work GROUP BY ALL",
 }
 
-for _more in (text_queries, export_queries, graph_queries, search_queries):
+for _more in (text_queries, export_queries, graph_queries, search_queries, tool_queries):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL

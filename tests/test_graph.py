@@ -149,7 +149,7 @@ def test_engine(spark, data, tmp_path):
     assert e.find_method(method.method_name, limit=1).first().method_name.lower() == method.method_name.lower()
     assert e.search_metadata(name.object_name, 3).first().object_name == name.object_name
     assert e.index_status().filter("section = 'chunks'").count() > 0 and e.post_change_report().count() == 1
-    assert e.bsl_ls_status("no-such-binary")["status"] == "unavailable" and not e.embedding_status()["ready"]
+    assert e.bsl_ls_status({"BSL_LS_BINARY": "no-such-binary"})["status"] == "unavailable" and not e.embedding_status()["ready"]
     with pytest.raises(KeyError):
         e.for_config("none")
     store = TableStore(spark, str(tmp_path))

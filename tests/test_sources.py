@@ -148,3 +148,22 @@ def test_configurations(spark):
     with pytest.raises(ValueError):
         config.provider({"EMBEDDING_PROVIDER": "x"})
     assert config.config_table(spark, [a, b]).count() == 2
+
+
+def test_language_server(spark, tmp_path):
+    from metascope.sources.language_server import analyze, server_status
+
+    fake = tmp_path / "server"
+    fake.write_text("""#!/bin/sh
+while [ $# -gt 0 ]; do case $1 in --srcDir) src=$2;; --outputDir) out=$2;; esac; shift; done
+echo "{\\"fileinfos\\": [{\\"path\\": \\"file://$src/00000.bsl\\", \\"diagnostics\\": [{\\"severity\\": \\"Error\\", \\"message\\": \\"m\\"}]}]}" > $out/report.json
+""")
+    fake.chmod(0o755)
+    use = {"BSL_LS_BINARY": str(fake)}
+    done = analyze({"Catalogs/А.bsl": b"x"}, use)
+    assert done.status == "completed" and tuple(modules.report_diagnostics(spark.createDataFrame([(done.report,)], "report string")).first())[0] == "Catalogs/А.bsl"
+    assert analyze({}, use).status == "not_run" and analyze({"a": b""}, {"BSL_LS_BINARY": "none"}).status == "unavailable" and server_status(use)["available"]
+    fake.write_text("#!/bin/sh\nsleep 5\n")
+    assert analyze({"a": b""}, use | {"BSL_LS_TIMEOUT": "1"}).status == "timeout"
+    fake.write_text("#!/bin/sh\nexit 3\n")
+    assert analyze({"a": b""}, use).status == "failed"
