@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metascope.operators.skew import hot_keys, salted_join
+from metascope.operators.skew import first_rows, hot_keys, salted_join
 
 KINDS = ("metadata", "form", "module", "method", "command")
 
@@ -154,27 +154,21 @@ def form_hints(nodes: DataFrame, edges: DataFrame, elements: int = LARGE_ELEMENT
 
 def context(edges: DataFrame, limit: int = 20) -> DataFrame:
     """The first edges (by seq) of each node and section: config_id, id, section, other_id, place. Sections: references,
-    forms, modules, uses (outgoing), referenced_by, used_by (incoming). Ranks are taken of at most `limit` rows a section:
-    first within salted parts, then over what these left, so that a hot node isn't ranked in one task."""
+    forms, modules, uses (outgoing), referenced_by, used_by (incoming). Hot nodes
+    are ranked in parts."""
     out = {"references_metadata": "references", "contains_form": "forms", "contains_module": "modules", "uses_metadata": "uses"}
     into = {"references_metadata": "referenced_by", "uses_metadata": "used_by"}
     name = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col("edge_type")]
     a = edges.select("config_id", F.col("from_id").alias("id"), name(out).alias("section"), F.col("to_id").alias("other_id"), "seq")
     b = edges.select("config_id", F.col("to_id").alias("id"), name(into).alias("section"), F.col("from_id").alias("other_id"), "seq")
-    from pyspark.sql import Window
+    rows = a.unionByName(b).filter("section is not null and id is not null").distinct()
+    return first_rows(rows, ["config_id", "id", "section"], ["seq", "other_id"], limit).drop("seq")
 
-    rows = a.unionByName(b).filter("section is not null and id is not null").distinct().withColumn("_part", F.pmod(F.xxhash64("other_id", "seq"), F.lit(32)))
-    first = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy("config_id", "id", "section", *by).orderBy("seq", "other_id"))).filter(F.col("place") <= limit)
-    return first(first(rows, "_part").drop("place")).drop("_part", "seq")
-
-
-def ordered_children(edges: DataFrame, nodes: DataFrame, edge_type: str = "declares_method") -> DataFrame:
-    """Children of each parent with their place: (start_line, method_name, id) order. Hot parents are only salted in
-    the join; the order is of one parent's children."""
-    from pyspark.sql import Window
 
+def ordered_children(edges: DataFrame, nodes: DataFrame, edge_type: str = "declares_method", limit: int = 500) -> DataFrame:
+    """The first children of each parent with their place in the order of (start_line, method_name, id); the limit is
+    that of the list which is asked for. Hot parents are ranked in parts."""
     kids = nodes.groupBy("config_id", "id").agg(F.min("start_line").alias("start_line"), F.max("method_name").alias("method_name"))
     e = edges.filter(F.col("edge_type") == edge_type).select("config_id", F.col("from_id").alias("parent_id"), F.col("to_id").alias("id")).distinct()
-    j = salted_join(e, kids, ["config_id", "id"], "inner", hot=hot_keys(e, ["config_id", "id"]))
-    w = Window.partitionBy("config_id", "parent_id").orderBy(F.col("start_line").asc_nulls_last(), F.col("method_name").asc_nulls_last(), "id")
-    return j.select("config_id", "parent_id", "id", "start_line", "method_name").withColumn("place", F.row_number().over(w))
+    j = salted_join(e, kids, ["config_id", "id"], "inner", hot=hot_keys(e, ["config_id", "id"])).select("config_id", "parent_id", "id", "start_line", "method_name")
+    return first_rows(j, ["config_id", "parent_id"], [F.col("start_line").asc_nulls_last(), F.col("method_name").asc_nulls_last(), F.col("id")], limit)

@@ -208,12 +208,12 @@ def flatten_records(records: DataFrame, labels: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for i, p in zip(b["record_id"], b["payload"]) for r in flat_items(None if pd.isna(i) else i, p, labels)]
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            out["record_id"] = out["record_id"].astype("Int64")
-            yield out
+            rows = [r for i, p in zip(b["record_id"], b["payload"]) for r in flat_items(i, p, labels)]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return records.select("record_id", "payload").filter("payload is not null").mapInPandas(run, ITEMS).distinct()
+    # ids travel as text: pandas would turn a column with nulls into floats
+    rows = records.select(F.col("record_id").cast("string").alias("record_id"), "payload").filter("payload is not null")
+    return rows.mapInPandas(run, ITEMS.replace("record_id bigint", "record_id string")).withColumn("record_id", F.col("record_id").cast("bigint")).distinct()
 
 
 def record_tables(records: DataFrame) -> dict[str, DataFrame]:

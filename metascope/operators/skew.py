@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A key is hot from this many rows on, and from 1/HOT_KEYS of all rows: so there are at most HOT_KEYS hot keys, whatever the size.
@@ -36,3 +36,12 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, al
     on = [F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_salt") == F.col("_r_salt")] + ([also] if also is not None else [])
     out = a.join(b, on, how)
     return out.drop("_salt", "_r_salt")
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list, limit: int, place: str = "place", parts: int = 32) -> DataFrame:
+    """The first `limit` rows of each key in a total order, with their place from 1. Ranks are taken within `parts` parts of
+    each key first, then over the at most parts * limit rows that these leave: no task sorts all rows of a hot key."""
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    rank = lambda d, *more: d.withColumn(place, F.row_number().over(Window.partitionBy(*keys, *more).orderBy(*by))).filter(F.col(place) <= limit)
+    spread = df.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(parts)))
+    return rank(rank(spread, "_part").drop(place)).drop("_part")

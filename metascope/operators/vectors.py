@@ -8,10 +8,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metascope.functions.text import stems
+from metascope.operators.skew import first_rows
 
 #: Rows of points and of queries in one block; a task holds one block of each.
 POINT_BLOCK, QUERY_BLOCK = 8192, 1024
@@ -65,10 +66,8 @@ def _best(q_ids, ids, scores: np.ndarray, k: int, digits: int) -> pd.DataFrame:
 
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
-    """The k best of each query, first within parts of its rows, then of what these leave."""
-    by = [F.desc("score"), F.asc("id")]
-    part = rows.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(16))).withColumn("place", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(*by))).filter(F.col("place") <= k)
-    return part.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).filter(F.col("place") <= k).select("query_id", "id", "score", "place")
+    """The k best of each query; ties by id."""
+    return first_rows(rows, ["query_id"], [F.desc("score"), F.asc("id")], k).select("query_id", "id", "score", "place")
 
 
 def topk(points: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", digits: int = 5) -> DataFrame:

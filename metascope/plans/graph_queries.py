@@ -238,7 +238,7 @@ SELECT config_id, id, direction, count(*) AS degree, CASE WHEN count(DISTINCT ot
 UNION ALL SELECT config_id, to_id, CASE edge_type WHEN 'references_metadata' THEN 'referenced_by' WHEN 'uses_metadata' THEN 'used_by' END, from_id, seq FROM e)
 SELECT config_id, id, section, other_id, (row_number() OVER (PARTITION BY config_id, id, section ORDER BY seq, other_id))::INT AS place FROM s WHERE section IS NOT NULL AND id IS NOT NULL QUALIFY place <= 5""",
     "ordered_children": f"""WITH {_E}, k AS (SELECT config_id, id, min(start_line) AS start_line, max(method_name) AS method_name FROM nodes GROUP BY ALL), d AS (SELECT DISTINCT config_id, from_id AS parent_id, to_id AS id FROM e WHERE edge_type = 'declares_method')
-SELECT config_id, parent_id, id, start_line, method_name, (row_number() OVER (PARTITION BY config_id, parent_id ORDER BY start_line NULLS LAST, method_name NULLS LAST, id))::INT AS place FROM d JOIN k USING (config_id, id)""",
+SELECT config_id, parent_id, id, start_line, method_name, (row_number() OVER (PARTITION BY config_id, parent_id ORDER BY start_line NULLS LAST, method_name NULLS LAST, id))::INT AS place FROM d JOIN k USING (config_id, id) QUALIFY place <= 500""",
     "list_object_forms": f"WITH {_NEAR} SELECT DISTINCT config_id, from_id, to_id, n_name FROM e JOIN x ON c = config_id AND i = to_id WHERE edge_type = 'contains_form'",
     "two_hop_entrypoints": f"""WITH {_E}, r AS (SELECT config_id, to_id AS h, arg_min(from_id, seq) AS source_id FROM e WHERE edge_type IN ('handles_event', 'handled_by') GROUP BY ALL)
 SELECT l.config_id, l.to_id AS method_id, l.from_id AS handler_id, r.source_id FROM (SELECT DISTINCT config_id, to_id, from_id FROM e WHERE edge_type = 'implements_handler') l LEFT JOIN r ON r.config_id = l.config_id AND r.h = l.from_id""",

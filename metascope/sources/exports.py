@@ -115,14 +115,15 @@ def schema_gate(state: DataFrame, configs: DataFrame, version: int = SCHEMA_VERS
 
 def export_counts(files: DataFrame, state: DataFrame) -> DataFrame:
     """Files on disk per configuration by class, and how many of them changed or are missing in the state."""
-    known = state.select(F.col("config_id").alias("_c"), slashes(F.col("rel_path")).alias("_p"), F.col("mtime").alias("_m")).groupBy("_c", "_p").agg(F.collect_set("_m").alias("_m"))
+    known = state.select(F.col("config_id").alias("_c"), slashes(F.col("rel_path")).alias("_p"), F.col("mtime").alias("_m")).distinct()
     f = files.select("config_id", slashes(F.col("rel_path")).alias("rel"), "mtime").groupBy("config_id", "rel").agg(F.max("mtime").alias("mtime"))
-    j = f.join(known, (F.col("config_id") == F.col("_c")) & (F.col("rel") == F.col("_p")), "left")
-    is_ = lambda c: F.count_if(c)
+    same = [F.col("config_id") == F.col("_c"), F.col("rel") == F.col("_p")]
+    j = f.join(known.select("_c", "_p").distinct(), same, "left").withColumn("_known", F.col("_p").isNotNull()).drop("_c", "_p")
+    j = j.join(known, [*same, F.col("mtime") == F.col("_m")], "left")
     low = F.lower("rel")
     return j.groupBy("config_id").agg(
-        F.count(F.lit(1)).alias("files"), is_(low.endswith(".bsl")).alias("bsl"), is_(low.endswith(".xml")).alias("xml"), is_(is_form_xml(F.col("rel"))).alias("form_xml"),
-        is_(F.col("_p").isNull()).alias("unknown"), is_(F.col("_p").isNotNull() & ~F.array_contains("_m", F.col("mtime"))).alias("changed"),
+        F.count(F.lit(1)).alias("files"), F.count_if(low.endswith(".bsl")).alias("bsl"), F.count_if(low.endswith(".xml")).alias("xml"), F.count_if(is_form_xml(F.col("rel"))).alias("form_xml"),
+        F.count_if(~F.col("_known")).alias("unknown"), F.count_if(F.col("_known") & F.col("_p").isNull()).alias("changed"),
     )
 
 

@@ -80,18 +80,25 @@ def modules(files: DataFrame) -> DataFrame:
 
 
 def module_summaries(methods_: DataFrame, most: int = 200) -> DataFrame:
-    """config_id, module_path, module_type, method_count and a summary that names the first `most` methods. Names are
-    gathered as (line, name) pairs; the text holds at most `most` of them."""
-    m = methods_.filter("method_name <> ''").groupBy("config_id", "module_path", "module_type").agg(F.array_sort(F.collect_list(F.struct("start_line", "method_name"))).alias("_m"))
-    names = F.transform("_m", lambda x: x["method_name"])
-    n = F.size("_m")
+    """config_id, module_path, module_type, method_count and a summary that names the first `most` methods by line and
+    name. Only these are gathered; all are counted."""
+    from metascope.operators.skew import first_rows
+
+    keys = ["config_id", "module_path", "module_type"]
+    m = methods_.filter("method_name <> ''").select(*keys, "start_line", "method_name")
+    first = first_rows(m.withColumn("_same", F.lit(1)).groupBy(*keys, "start_line", "method_name").agg(F.count("_same").alias("_same")), keys, ["start_line", "method_name"], most)
+    # a method that is there several times is named as often, within the first `most`
+    named = first.withColumn("_name", F.explode(F.array_repeat("method_name", F.least("_same", F.lit(most)).cast("int")))).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "_name"))).alias("_m"))
+    counted = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    k = [c.eqNullSafe(d) for c, d in ((F.col(x), F.col(f"_k_{x}")) for x in keys)]
+    j = counted.join(named.withColumnsRenamed({x: f"_k_{x}" for x in keys}), k)
+    n, none = F.col("_n"), F.expr("cast(array() as array<string>)")
     lines = F.concat(
-        F.array(F.concat(F.lit("Модуль: "), "module_path"), F.concat(F.lit("Тип модуля: "), "module_type"), F.concat(F.lit("Количество методов: "), n.cast("string"))),
-        F.when(n > 0, F.array(F.lit("Методы:"))).otherwise(F.expr("cast(array() as array<string>)")),
-        F.transform(F.slice(names, 1, most), lambda x: F.concat(F.lit("- "), x)),
-        F.when(n > most, F.array(F.concat(F.lit("- ... еще "), (n - most).cast("string"), F.lit(" методов")))).otherwise(F.expr("cast(array() as array<string>)")),
+        F.array(F.concat(F.lit("Модуль: "), "module_path"), F.concat(F.lit("Тип модуля: "), "module_type"), F.concat(F.lit("Количество методов: "), n.cast("string")), F.lit("Методы:")),
+        F.transform(F.slice("_m", 1, most), lambda x: F.concat(F.lit("- "), x["_name"])),
+        F.when(n > most, F.array(F.concat(F.lit("- ... еще "), (n - most).cast("string"), F.lit(" методов")))).otherwise(none),
     )
-    return m.select("config_id", "module_path", "module_type", n.alias("method_count"), F.array_join(lines, "\n").alias("document"))
+    return j.select(*keys, n.cast("int").alias("method_count"), F.array_join(lines, "\n").alias("document"))
 
 
 def bare_code(body: Column) -> Column:

@@ -46,6 +46,11 @@ def test_damaged_null_empty_and_repeated(spark):
     assert found_items(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_null_and_huge_ids(spark):
+    df = spark.createDataFrame([(i, "form", json.dumps(FORM), "x") for i in (None, (1 << 62) + 1)], SCHEMA)
+    assert {r.record_id for r in found_items(df).collect()} == {None, (1 << 62) + 1}
+
+
 def test_any_depth():
     deep = "".join('{"element_id":%d,"elements":[' % i for i in range(30_000))
     text = '{"form":{"form_name":"F","elements":[' + deep + "]}" * 30_000 + "]}}"
