@@ -362,7 +362,7 @@ class Model:
         return sorted(kept, key=lambda s: s.start)
 
 
-_SPANS = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint,votes:string>>"
+_SPANS = "doc_id string, spans array<struct<kind:string,start:bigint,end:bigint,votes:string>>"
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -371,9 +371,10 @@ def scan(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [(i, [{"kind": s.kind, "start": s.start, "end": s.end, "votes": s.votes} for s in c]) for i, t in zip(b["doc_id"], b["text"]) if (c := candidates(t if isinstance(t, str) else None))]
-            yield pd.DataFrame({"doc_id": pd.array([i for i, _ in found], dtype="Int64"), "spans": pd.Series([s for _, s in found], dtype=object)})
+            yield pd.DataFrame({"doc_id": pd.Series([i for i, _ in found], dtype=object), "spans": pd.Series([s for _, s in found], dtype=object)})
 
-    return documents.select("doc_id", "text").filter("text is not null").mapInPandas(run, _SPANS)
+    # ids travel as text: pandas would turn a column with nulls into floats
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null").mapInPandas(run, _SPANS)
 
 
 def fit(scanned: DataFrame) -> Model:
@@ -401,7 +402,8 @@ def find_pii(documents: DataFrame) -> DataFrame:
             rows = [(i, s.kind, s.start, s.end) for i, spans in zip(b["doc_id"], b["spans"]) for s in model.choose([Span(x["kind"], x["start"], x["end"], x["votes"]) for x in spans])]
             yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "start_pos", "end_pos"])
 
-    return scanned.mapInPandas(run, "doc_id bigint, pii_type string, start_pos bigint, end_pos bigint").distinct()
+    out = scanned.mapInPandas(run, "doc_id string, pii_type string, start_pos bigint, end_pos bigint")
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint")).distinct()
 
 
 def redact(text: str | None, model: Model) -> str | None:
@@ -423,7 +425,8 @@ def redact_documents(documents: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [redact(t, model) if isinstance(t, str) else None for t in b["text"]]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, text string")
+    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, text string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def model_report(scanned: DataFrame) -> str:

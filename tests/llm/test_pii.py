@@ -70,6 +70,11 @@ def test_expectation_maximisation_finds_the_bad_labeler():
     assert dict(zip(sorted(counts), post))["+++-"] > 0.95 > 0.05 > dict(zip(sorted(counts), post))["---+"]
 
 
+def test_null_and_huge_ids(spark):
+    df = spark.createDataFrame([(i, "cc hugo@dev.invalid", "x") for i in (None, (1 << 62) + 1)], "doc_id bigint, text string, pii_type string")
+    assert {r.doc_id for r in find_pii(df).collect()} == {None, (1 << 62) + 1} == {r.doc_id for r in redact_documents(df).collect()}
+
+
 def test_overlaps_are_resolved():
     spans = candidates("Вера Павловна Лапеглина, vera@dev.invalid")
     assert len(spans) > 1
