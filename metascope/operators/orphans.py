@@ -37,17 +37,20 @@ def orphan_edges(edges: DataFrame, nodes: DataFrame, configs: DataFrame, ownersh
 
     Scale: edges are joined once on (config_id, key); hot keys are salted. Each round reads only ownership edges.
     """
-    e = edges.select("seq", "config_id", clean_key(F.col("from_id")).alias("from_key"), clean_key(F.col("to_id")).alias("to_key"), "edge_type", "observed_at").filter("to_key is not null")
-    spans = nodes_in_force(nodes, configs)
-    asked = e.withColumnRenamed("to_key", "key")
-    missing = salted_join(asked, spans, ["config_id", "key"], "left_anti", (F.col("since") <= F.col("observed_at")) & (F.col("observed_at") < F.col("until")), hot_keys(asked, ["config_id", "key"]))
     cols = ["seq", "config_id", "from_key", "to_key", "edge_type", "observed_at"]
-    direct = missing.withColumnRenamed("key", "to_key").select(*cols).distinct().withColumns({"orphan_kind": F.lit("direct"), "depth": F.lit(0)})
+    asked = edges.select("seq", "config_id", clean_key(F.col("from_id")).alias("from_key"), clean_key(F.col("to_id")).alias("key"), "edge_type", "observed_at").filter("key is not null")
+    spans = nodes_in_force(nodes, configs).withColumn("seen", F.lit(True))
+    in_force = (F.col("since") <= F.col("observed_at")) & (F.col("observed_at") < F.col("until"))
+    hot = hot_keys(asked, ["config_id", "key"])
+    label = lambda df: df.withColumnsRenamed({"key": "to_key"}).select(*cols)
     if not cascade:
-        return direct
-    found = level = cut(direct)
-    owned = e.filter(F.col("edge_type").isin(*ownership) & F.col("from_key").isNotNull()).distinct()
-    owned = cut(owned.join(found.select(*[F.col(c).alias(f"_d_{c}") for c in cols]), [F.col("seq").eqNullSafe(F.col("_d_seq"))] + [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in cols[1:]], "left_anti"))
+        return label(salted_join(asked, spans, ["config_id", "key"], "left_anti", in_force, hot)).distinct().withColumns({"orphan_kind": F.lit("direct"), "depth": F.lit(0)})
+    # one join tells both the orphans and the ownership edges that are none; all other edges end here
+    j = salted_join(asked, spans, ["config_id", "key"], "left", in_force, hot).select(*asked.columns, F.coalesce("seen", F.lit(False)).alias("seen"))
+    owns = F.col("edge_type").isin(*ownership) & F.col("from_key").isNotNull()
+    j = cut(j.filter(~F.col("seen") | F.coalesce(owns, F.lit(False))).distinct())
+    found = label(j.filter(~F.col("seen"))).withColumns({"orphan_kind": F.lit("direct"), "depth": F.lit(0)})
+    owned = label(j.filter("seen"))
     known = cut(found.select("config_id", F.col("to_key").alias("from_key")).distinct())
     front, depth = known, 0
     while True:
