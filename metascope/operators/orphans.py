@@ -10,6 +10,8 @@ from metascope.runtime import clean_key, cut
 
 #: Edges that make their target part of their source: with the source gone, the target hangs in the air.
 OWNERSHIP = ("contains_form", "contains_module", "contains_command", "contains_element", "contains_child_element", "declares_method", "has_form_module")
+#: A frontier of at most this many ids goes to the tasks as it is; a larger one is joined by a shuffle.
+FRONT_ROWS = 100_000
 _FAR = "timestamp_ntz '9999-12-31 23:59:59'"
 
 
@@ -35,7 +37,8 @@ def orphan_edges(edges: DataFrame, nodes: DataFrame, configs: DataFrame, ownersh
     direct orphan, or was itself handed down; found by semi-joins until no new edge comes. Cycles end, since an edge is
     taken once. Other columns are ignored; empty tables give no rows (without nodes every named target is missing).
 
-    Scale: edges are joined once on (config_id, key); hot keys are salted. Each round reads only ownership edges.
+    Scale: edges are joined once on (config_id, key); hot keys are salted. Each round reads only ownership edges, against
+    the ids that the last round lost: broadcast up to FRONT_ROWS ids, which is counted first, else by a shuffle.
     """
     cols = ["seq", "config_id", "from_key", "to_key", "edge_type", "observed_at"]
     asked = edges.select("seq", "config_id", clean_key(F.col("from_id")).alias("from_key"), clean_key(F.col("to_id")).alias("key"), "edge_type", "observed_at").filter("key is not null")
@@ -55,7 +58,8 @@ def orphan_edges(edges: DataFrame, nodes: DataFrame, configs: DataFrame, ownersh
     front, depth = known, 0
     while True:
         depth += 1
-        level = cut(owned.join(front, ["config_id", "from_key"], "left_semi").select(*cols).withColumns({"orphan_kind": F.lit("inherited"), "depth": F.lit(depth)}))
+        few = front.limit(FRONT_ROWS + 1).count() <= FRONT_ROWS
+        level = cut(owned.join(F.broadcast(front) if few else front, ["config_id", "from_key"], "left_semi").select(*cols).withColumns({"orphan_kind": F.lit("inherited"), "depth": F.lit(depth)}))
         if level.isEmpty():
             return found
         found = found.unionByName(level)

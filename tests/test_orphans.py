@@ -83,6 +83,11 @@ def test_handed_down(spark):
     assert sorted((r.seq, r.orphan_kind, r.depth) for r in out.collect()) == [(1, "direct", 0), (2, "inherited", 1), (3, "inherited", 2)]
 
 
+def test_large_frontier_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr("metascope.operators.orphans.FRONT_ROWS", 0)
+    test_handed_down(spark)
+
+
 def test_empty_tables(spark):
     assert rows(orphan_edges(*tables(spark, [], [], []))) == []
     assert rows(orphan_edges(*tables(spark, [(1, "a", None, "t", None, T0)], [], []))) == [(1, "direct")]
