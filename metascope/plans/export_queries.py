@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metascope.functions.constants import CALL_KEYWORDS, FOLDERS, NAMESPACES, REFERENCE, REFERENCE_TYPES
+from metascope.functions.constants import ANNOTATIONS, CALL_KEYWORDS, FOLDERS, NAMESPACES, REFERENCE, REFERENCE_TYPES
 from metascope.functions.text import severity_col
 from metascope.operators.ledger import newest_versions
 from metascope.plans import sql_text as s
@@ -113,8 +113,6 @@ def type_references(spark: SparkSession, d: str) -> DataFrame:
 
 def extension_annotations(spark: SparkSession, d: str) -> DataFrame:
     """X2 over whole code chunks: the annotation's kind and target, where a chunk has one."""
-    from metascope.functions.constants import ANNOTATIONS
-
     pattern = rf"(?iu)&({'|'.join(sorted(ANNOTATIONS, key=len, reverse=True))})\s*\(\s*[\"']([^\"']+)[\"']\s*\)"
     kinds = F.create_map(*[F.lit(x) for kv in ANNOTATIONS.items() for x in kv])
     d_ = table(spark, d, "documents").filter("text is not null").select("doc_id", F.regexp_extract("text", pattern, 1).alias("k"), F.regexp_extract("text", pattern, 2).alias("target_method"))
@@ -199,6 +197,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+_ANNOTATION = rf"(?i)&({'|'.join(sorted(ANNOTATIONS, key=len, reverse=True))})\s*\(\s*[\"']([^\"']+)[\"']\s*\)"
 _REL = r"replace(rel_path, '\', '/')"
 _NAME = "[A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_]*"
 _BARE = r"""regexp_replace(regexp_replace(replace(document, chr(13), ''), '//[^\n]*', '', 'g'), '"(?:[^"\n]|"")*"', '""', 'g')"""
@@ -250,6 +249,7 @@ SELECT DISTINCT id, split_part(x, '.', 1) AS namespace, CASE split_part(x, '.',
     "type_references": rf"""WITH c AS (SELECT DISTINCT id, concat_ws(' ', document, array_to_string(sources, ' ')) AS x FROM chunks WHERE document IS NOT NULL), r AS (SELECT id, regexp_extract_all(x, '{REFERENCE}') AS a FROM c)
 SELECT id, (i - 1)::INT AS place, split_part(a[i], '.', 1) AS raw_type, CASE split_part(a[i], '.', 1) {' '.join(f'WHEN {s.q(a)} THEN {s.q(b)}' for a, b in REFERENCE_TYPES.items())} ELSE regexp_replace(split_part(a[i], '.', 1), 'Ref$', '') END AS target_type,
 split_part(a[i], '.', 2) AS target_name FROM (SELECT id, a, unnest(range(1, len(a) + 1)) AS i FROM r)""",
+    "extension_annotations": f"""SELECT doc_id, CASE lower(k) {' '.join(f'WHEN {s.q(a)} THEN {s.q(b)}' for a, b in ANNOTATIONS.items())} END AS annotation, trim(m) AS target_method FROM (SELECT doc_id, regexp_extract(text, {s.q(_ANNOTATION)}, 1) AS k, regexp_extract(text, {s.q(_ANNOTATION)}, 2) AS m FROM documents WHERE text IS NOT NULL) WHERE k <> ''""",
     "module_summary": rf"""SELECT config_id, module_path, module_type, n::INT AS method_count, md5('Модуль: ' || module_path || chr(10) || 'Тип модуля: ' || module_type || chr(10) || 'Количество методов: ' || n || chr(10) || 'Методы:' ||
 array_to_string(list_transform(m[1:200], lambda x: chr(10) || '- ' || x.b), '') || CASE WHEN n > 200 THEN chr(10) || '- ... еще ' || (n - 200) || ' методов' ELSE '' END) AS document_md5
 FROM (SELECT config_id, module_path, module_type, list_sort(list(struct_pack(a := start_line, b := method_name))) AS m, count(*) AS n FROM ({_SIGNATURES}) WHERE module_path IS NOT NULL AND start_line IS NOT NULL GROUP BY ALL)""",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metascope.plans import graph_queries
 from metascope.plans.engine import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,4 +54,14 @@ QUERIES: dict[str, Query] = {
     "tool_post_change_report": _tool(lambda e: e.post_change_report()),
     "tool_index_status": _tool(lambda e: e.index_status()),
 }
-SQL: dict[str, str] = {"tool_list_configurations": f"SELECT *, config_id = '{CONFIG}' AS active FROM (SELECT DISTINCT * FROM configs)"}
+_ID = f"metadata:{KIND}.{OBJECT}"
+_SECTIONS = graph_queries.SQL["object_context"].replace("place <= 5", "place <= 20")
+SQL: dict[str, str] = {
+    "tool_list_configurations": f"SELECT *, config_id = '{CONFIG}' AS active FROM (SELECT DISTINCT * FROM configs)",
+    "tool_extension_overlay_report": f"SELECT * FROM ({graph_queries.SQL['overlay_semi_anti']}) WHERE config_id = '{CONFIG}' OR base_config_id = '{CONFIG}'",
+    "tool_change_impact_report": f"SELECT section, other_id FROM ({_SECTIONS}) WHERE config_id = '{CONFIG}' AND id = '{_ID}'",
+    "tool_find_usages": f"""WITH {graph_queries._NEAR} SELECT edge_type, from_id, to_id, section, edge_source, n_kind, n_name, seq FROM e LEFT JOIN x ON c = config_id AND i = from_id
+WHERE config_id = '{CONFIG}' AND to_id = '{_ID}' AND edge_type IN ('references_metadata', 'uses_metadata') ORDER BY seq LIMIT 20""",
+    "tool_get_dependencies": f"""WITH {graph_queries._E} SELECT edge_type, to_id, section, edge_source, 'graph' AS origin FROM e WHERE config_id = '{CONFIG}' AND from_id = '{_ID}' AND edge_type IN ('references_metadata', 'contains_form', 'contains_module')""",
+    "tool_list_object_forms": f"""WITH {graph_queries._NEAR} SELECT DISTINCT to_id, n_name AS form_name, n_file_path AS file_path FROM e LEFT JOIN x ON c = config_id AND i = to_id WHERE config_id = '{CONFIG}' AND from_id = '{_ID}' AND edge_type = 'contains_form'""",
+}
