@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 WINDOW, BUDGET = 12, 1
 #: Items are searched in blocks of at most this many words: the bound of what each task gets besides its documents.
 BLOCK_WORDS = 2_000_000
+#: Texts of more characters are read in parts of PART_WORDS words that share more words than any item has.
+LONG_TEXT, PART_WORDS = 4_000_000, 500_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,7 +103,25 @@ class Block:
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """(text's index, item_id, distance of the best window, most words in a row) of each text and item that has a
-        window within the budget."""
+        window within the budget. Long texts are searched by themselves, part by part."""
+        long = [k for k, t in enumerate(texts) if t and len(t) > LONG_TEXT]
+        yield from self._search([None if k in long else t for k, t in enumerate(texts)] if long else texts)
+        for k in long:
+            best: dict[int, tuple[int, int]] = {}
+            for part in self._parts(texts[k]):
+                for _, i, d, n in self._search([part]):
+                    old = best.get(i, (d, n))
+                    best[i] = (min(d, old[0]), max(n, old[1]))
+            yield from ((k, i, d, n) for i, (d, n) in best.items())
+
+    def _parts(self, text: str) -> Iterator[str]:
+        starts = [m.start() for n, m in enumerate(_WORD.finditer(text)) if n % PART_WORDS == 0]
+        share = max((len(ws) for _, ws in self.items), default=0) + self.window + self.budget
+        for a, b in zip(starts, [*starts[1:], len(text)]):
+            end = next((m.end() for m in islice(_WORD.finditer(text, b), share, share + 1)), len(text))
+            yield text[a:end]
+
+    def _search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         get, pad = self.number.get, np.full(self.window + self.budget, -1, dtype=np.int32)
         parts, begin, n = [pad], [], len(pad)
         for t in texts:

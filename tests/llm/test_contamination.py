@@ -68,5 +68,21 @@ def test_budget_finds_one_changed_word():
     assert not list(block.search([" ".join([*item[3:9], "x", "y", *item[11:15]])]))
 
 
+def test_long_texts_in_parts(monkeypatch):
+    rnd = random.Random(2)
+    items = [(i, [rnd.choice("abcdefgh") + str(rnd.randint(0, 9)) for _ in range(rnd.randint(12, 40))]) for i in range(8)]
+    block, docs = Block(items), []
+    for _ in range(12):
+        ws = [rnd.choice("abcdefgh") + str(rnd.randint(0, 9)) for _ in range(300)]
+        for _, item in rnd.sample(items, 3):
+            at = rnd.randrange(len(ws))
+            ws[at:at] = item
+        docs.append(", ".join(ws))
+    whole = sorted(block.search(docs))
+    monkeypatch.setattr("metascope.llm.contamination.LONG_TEXT", 100)
+    monkeypatch.setattr("metascope.llm.contamination.PART_WORDS", 37)
+    assert sorted(block.search([*docs, None, "short"])) == whole and len(whole) >= 24
+
+
 def test_empty_tables(spark):
     assert leaks(spark, [], []).count() == 0 and leaks(spark, ["a b"], []).count() == 0 and leaks(spark, [], ["a " * 20]).count() == 0
