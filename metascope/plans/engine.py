@@ -12,6 +12,7 @@ from metascope.functions import text as t
 from metascope.operators import graph, impact, search, vectors
 from metascope.operators.ledger import newest_versions
 from metascope.sources import descriptors, exports, language_server, modules
+from metascope.runtime import ship
 from metascope.sources.sinks import TableStore, write_graph
 
 TABLES = ("nodes", "edges", "chunks", "configs", "export_files", "index_state", "index_runs", "diagnostics")
@@ -37,6 +38,7 @@ class Engine:
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, config_id: str, **more) -> Engine:
+        ship(spark)
         return cls(spark, {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in TABLES}, config_id, **more)
 
     def for_config(self, config_id: str) -> Engine:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +44,25 @@ def clean_key(col):
     """An identifier without outer blanks and letter case; null where nothing is left."""
     key = F.lower(F.btrim(col, F.lit(BLANKS)))
     return F.when(key != "", key)
+
+
+def ship(spark: SparkSession) -> bool:
+    """Sends this package to the Python workers where they would not find it by themselves: on a real cluster, or in local
+    mode if neither PYTHONPATH nor the working folder holds it. Once for each context; whether it was sent."""
+    sc = spark.sparkContext
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    places = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()]
+    if getattr(sc, "_metascope_sent", False) or (sc.master.startswith("local") and here in places):
+        return False
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, names in os.walk(os.path.dirname(os.path.abspath(__file__))):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, here))
+    with tempfile.NamedTemporaryFile(prefix="metascope-", suffix=".zip", delete=False) as f:  # the driver serves it to all workers
+        f.write(data.getvalue())
+    sc.addPyFile(f.name)
+    sc._metascope_sent = True
+    return True

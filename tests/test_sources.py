@@ -167,3 +167,18 @@ echo "{\\"fileinfos\\": [{\\"path\\": \\"file://$src/00000.bsl\\", \\"diagnostic
     assert analyze({"a": b""}, use | {"BSL_LS_TIMEOUT": "1"}).status == "timeout"
     fake.write_text("#!/bin/sh\nexit 3\n")
     assert analyze({"a": b""}, use).status == "failed"
+
+
+def test_sending_the_package(spark, monkeypatch, tmp_path):
+    from metascope.runtime import ship
+
+    assert not ship(spark), "workers find it by PYTHONPATH"
+    monkeypatch.setenv("PYTHONPATH", "")
+    monkeypatch.chdir(tmp_path)
+    sent = []
+    monkeypatch.setattr(spark.sparkContext, "addPyFile", sent.append)
+    assert ship(spark) and len(sent) == 1 and not ship(spark)
+    import zipfile
+
+    assert "metascope/runtime.py" in zipfile.ZipFile(sent[0]).namelist()
+    del spark.sparkContext._metascope_sent
