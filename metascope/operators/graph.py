@@ -66,14 +66,16 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """Degree and neighbours of each node by direction: config_id, id, direction, degree, neighbours (distinct, sorted).
-    A list longer than `most` is null; its members are the rows of neighbours(), which has no such limit."""
+    """Degree and neighbours of each node by direction: config_id, id, direction, degree, block, neighbours (distinct,
+    sorted). A node with more than `most` of them has several rows, each with the degree of the whole and one block of the
+    list, of about `most` or less: the members with one hash of theirs. The blocks are disjoint and together complete."""
     ends = edges.select("config_id", F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.lit("outgoing").alias("direction"), F.col("to_id").alias("other")), F.struct(F.col("to_id").alias("id"), F.lit("incoming").alias("direction"), F.col("from_id").alias("other")))).alias("e"))
-    pairs = ends.select("config_id", "e.*").filter("id is not null").groupBy("config_id", "id", "direction", "other").agg(F.count(F.lit(1)).alias("n"))
-    degree = pairs.groupBy("config_id", "id", "direction").agg(F.sum("n").alias("degree"), F.count("other").alias("_m"))
-    few = degree.filter(F.col("_m") <= most).select("config_id", "id", "direction")
-    lists = pairs.join(few, ["config_id", "id", "direction"], "left_semi").groupBy("config_id", "id", "direction").agg(F.array_join(F.sort_array(F.collect_set("other")), "|").alias("neighbours"))
-    return degree.drop("_m").join(lists, ["config_id", "id", "direction"], "left")
+    keys = ["config_id", "id", "direction"]
+    pairs = ends.select("config_id", "e.*").filter("id is not null").groupBy(*keys, "other").agg(F.count(F.lit(1)).alias("n"))
+    degree = pairs.groupBy(*keys).agg(F.sum("n").alias("_degree"), F.count("other").alias("_m"))
+    large = degree.filter(F.col("_m") > most).select(*keys, "_degree", F.ceil(F.col("_m") / most).alias("_blocks"))  # few rows: at most one for each `most` pairs
+    part = pairs.join(large, keys, "left").filter("other is not null or _blocks is null").withColumn("block", F.coalesce(F.pmod(F.xxhash64("other"), F.col("_blocks")) + 1, F.lit(1)).cast("int"))
+    return part.groupBy(*keys, "block").agg(F.coalesce(F.max("_degree"), F.sum("n")).alias("degree"), F.array_join(F.sort_array(F.collect_set("other")), "|").alias("neighbours")).select(*keys, "degree", "block", "neighbours")
 
 
 def find_nodes(nodes: DataFrame, kind: str | None = None, limit: int | None = 20, order: str = "node_seq", **equal) -> DataFrame:

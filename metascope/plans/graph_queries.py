@@ -42,7 +42,8 @@ def stub_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return graph.adjacency(_edges(spark, d), most=200)
+    """All neighbours of each node; a long list comes in several rows, each with the degree of the whole."""
+    return graph.adjacency(_edges(spark, d)).drop("block")
 
 
 def find_nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from metascope.operators import graph, impact, skew, vectors
 from metascope.operators.search import Question, Rule
+from metascope.plans import graph_queries
 from metascope.plans.engine import Engine
 from metascope.sources import descriptors, modules
 from metascope.sources.sinks import TableStore, graph_writers, markdown, relation_name, setup_collection, write_graph
@@ -43,6 +44,17 @@ def test_merging(spark):
     assert sorted(r.seq for r in graph.dedupe_edges(e).collect()) == [0, 2]
 
 
+def test_long_neighbour_lists_are_whole(spark, tmp_path):
+    e = edges(spark, [(f"n{i}", "hub", "t") for i in range(300)] + [("n0", "hub", "u"), (None, "hub", "t"), ("n0", None, "t")])
+    rows = [r for r in graph.adjacency(e, most=20).collect() if r.id == "hub"]
+    parts = [r.neighbours.split("|") for r in rows]
+    assert len(rows) > 1 and len({r.block for r in rows}) == len(rows) and {r.degree for r in rows} == {302}
+    assert sorted(x for p in parts for x in p) == sorted(f"n{i}" for i in range(300)) and max(map(len, parts)) <= 40
+    e.write.parquet(str(tmp_path / "edges.parquet"))
+    got = {r.id: r for r in graph_queries.adjacency(spark, str(tmp_path)).collect() if r.direction == "incoming"}
+    assert got["hub"].degree == 302 and got["hub"].neighbours == "|".join(sorted(f"n{i}" for i in range(300)))
+
+
 def test_resolution_to_the_only_other(spark):
     calls = spark.createDataFrame([("c1", "k", "s"), ("c2", "k", "a"), ("c3", "two", "s"), ("c4", "three", "t1"), ("c5", "none", "s"), ("c6", "self", "z")], "c string, k string, source_id string")
     targets = spark.createDataFrame([("k", "a"), ("two", "a"), ("two", "b"), ("three", "t1"), ("three", "t2"), ("self", "z")], "k string, target_id string")
