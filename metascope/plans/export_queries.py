@@ -111,14 +111,27 @@ def type_references(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.posexplode(modules.type_references(F.col("x"))).alias("place", "r")).select("id", "place", "r.*")
 
 
+def _annotation_pattern() -> str:
+    return rf"(?iu)&({'|'.join(sorted(ANNOTATIONS, key=len, reverse=True))})\s*\(\s*[\"']([^\"']+)[\"']\s*\)"
+
+
 def extension_annotations(spark: SparkSession, d: str) -> DataFrame:
-    """X2 over whole code chunks: the annotation's kind and target, where a chunk has one."""
-    pattern = rf"(?iu)&({'|'.join(sorted(ANNOTATIONS, key=len, reverse=True))})\s*\(\s*[\"']([^\"']+)[\"']\s*\)"
+    """X2 over the texts of documents: kind and target of the first annotation of each text that has one. annotation_places
+    has them all."""
+    pattern = _annotation_pattern()
     kinds = F.create_map(*[F.lit(x) for kv in ANNOTATIONS.items() for x in kv])
     d_ = table(spark, d, "documents").filter("text is not null").select("doc_id", F.regexp_extract("text", pattern, 1).alias("k"), F.regexp_extract("text", pattern, 2).alias("target_method"))
     return d_.filter("k <> ''").select("doc_id", kinds[F.lower("k")].alias("annotation"), F.trim("target_method").alias("target_method"))
 
 
+def annotation_places(spark: SparkSession, d: str) -> DataFrame:
+    """X2 over the texts of documents: kind and target of every annotation, with its place in the text from 0."""
+    pattern = _annotation_pattern()
+    kinds = F.create_map(*[F.lit(x) for kv in ANNOTATIONS.items() for x in kv])
+    d_ = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("place", "m"))
+    return d_.select("doc_id", "place", kinds[F.lower(F.regexp_extract("m", pattern, 1))].alias("annotation"), F.trim(F.regexp_extract("m", pattern, 2)).alias("target_method"))
+
+
 def module_summary(spark: SparkSession, d: str) -> DataFrame:
     m = code_signatures(spark, d).filter("module_path is not null and start_line is not null")
     return modules.module_summaries(m).select("config_id", "module_path", "module_type", "method_count", F.md5(F.col("document").cast("binary")).alias("document_md5"))
@@ -192,7 +205,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         export_scan, export_counts, schema_gate, incremental_changes, form_identity, module_identity, line_snippet, chunk_counts, point_scan, metadata_scan, form_scan, code_signatures, module_scan, code_lookup, call_candidates,
-        metadata_usages, type_references, extension_annotations, module_summary, method_chunks, object_cards, form_cards, form_elements, event_subscriptions, structure_issues, card_dependencies, sequence_validation,
+        metadata_usages, type_references, extension_annotations, annotation_places, module_summary, method_chunks, object_cards, form_cards, form_elements, event_subscriptions, structure_issues, card_dependencies, sequence_validation,
         json_diagnostics, index_status, list_configurations,
     )
 }
@@ -250,6 +263,7 @@ SELECT DISTINCT id, split_part(x, '.', 1) AS namespace, CASE split_part(x, '.',
 SELECT id, (i - 1)::INT AS place, split_part(a[i], '.', 1) AS raw_type, CASE split_part(a[i], '.', 1) {' '.join(f'WHEN {s.q(a)} THEN {s.q(b)}' for a, b in REFERENCE_TYPES.items())} ELSE regexp_replace(split_part(a[i], '.', 1), 'Ref$', '') END AS target_type,
 split_part(a[i], '.', 2) AS target_name FROM (SELECT id, a, unnest(range(1, len(a) + 1)) AS i FROM r)""",
     "extension_annotations": f"""SELECT doc_id, CASE lower(k) {' '.join(f'WHEN {s.q(a)} THEN {s.q(b)}' for a, b in ANNOTATIONS.items())} END AS annotation, trim(m) AS target_method FROM (SELECT doc_id, regexp_extract(text, {s.q(_ANNOTATION)}, 1) AS k, regexp_extract(text, {s.q(_ANNOTATION)}, 2) AS m FROM documents WHERE text IS NOT NULL) WHERE k <> ''""",
+    "annotation_places": f"""SELECT doc_id, (i - 1)::INT AS place, CASE lower(ks[i]) {' '.join(f'WHEN {s.q(a)} THEN {s.q(b)}' for a, b in ANNOTATIONS.items())} END AS annotation, trim(ms[i]) AS target_method FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {s.q(_ANNOTATION)}, 1) AS ks, regexp_extract_all(text, {s.q(_ANNOTATION)}, 2) AS ms FROM documents WHERE text IS NOT NULL))""",
     "module_summary": rf"""SELECT config_id, module_path, module_type, n::INT AS method_count, md5('Модуль: ' || module_path || chr(10) || 'Тип модуля: ' || module_type || chr(10) || 'Количество методов: ' || n || chr(10) || 'Методы:' ||
 array_to_string(list_transform(m[1:200], lambda x: chr(10) || '- ' || x.b), '') || CASE WHEN n > 200 THEN chr(10) || '- ... еще ' || (n - 200) || ' методов' ELSE '' END) AS document_md5
 FROM (SELECT config_id, module_path, module_type, list_sort(list(struct_pack(a := start_line, b := method_name))) AS m, count(*) AS n FROM ({_SIGNATURES}) WHERE module_path IS NOT NULL AND start_line IS NOT NULL GROUP BY ALL)""",

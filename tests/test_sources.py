@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metascope import config
+from metascope.plans.export_queries import QUERIES
 from metascope.sources import descriptors, exports, modules
 
 MODULE = """\ufeff// Модуль
@@ -182,3 +183,10 @@ def test_sending_the_package(spark, monkeypatch, tmp_path):
 
     assert "metascope/runtime.py" in zipfile.ZipFile(sent[0]).namelist()
     del spark.sparkContext._metascope_sent
+
+
+def test_every_annotation_of_a_text(spark, tmp_path):
+    text = '&После("А")\nПроцедура А1()\nКонецПроцедуры\n&Instead( \'Б \' )\nПроцедура Б1()\nКонецПроцедуры\n&После("А")'
+    spark.createDataFrame([("d", text), ("none", "&НаСервере"), ("null", None)], "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, QUERIES["annotation_places"](spark, str(tmp_path)).collect()))
+    assert got == [("d", 0, "after", "А"), ("d", 1, "instead", "Б"), ("d", 2, "after", "А")]
