@@ -41,7 +41,7 @@ _CLOSERS = {"k": "If", "d": "a loop", "y": "Try", "p": "a procedure", "f": "a fu
 _PARTS = {"I": "Eek", "L": "d", "W": "d", "Y": "xy", "P": "p", "F": "f", "1": "2", "3": "456", "7": "8", "9": "0"}
 _NAMES = {"I": "If", "L": "For", "W": "While", "Y": "Try", "P": "Procedure", "F": "Function", "1": "#Region", "3": "#If", "7": "#Insert", "9": "#Delete"}
 _STATEMENTS = frozenset("ILWYRrbgvhzPFS&13579" + "eEkdyxpf246850u")
-MAX_MEMO, MAX_ERRORS = 200_000, 1000
+MAX_MEMO = 200_000
 
 
 class _Kinds(dict):
@@ -222,8 +222,7 @@ class Parser:
         return [(places[min(i, len(places) - 1)], what) for i, what in sorted(self.faults)]
 
     def _fault(self, i: int, what: str) -> None:
-        if len(self.faults) < MAX_ERRORS:
-            self.faults.append((i, what))
+        self.faults.append((i, what))
 
     def _skip(self, i: int) -> int:
         """Panic mode: goes to the end of the statement or to the next keyword that begins, parts or closes one."""
@@ -491,7 +490,7 @@ _CHECKS = {"bsl": module_errors, "xml": xml_errors}
 
 def parse_files(files: DataFrame) -> DataFrame:
     """One row for each scanned version whose rel_path ends in .bsl or .xml (in any letter case), with the columns of
-    RESULT: all errors (at most MAX_ERRORS), the first cause and its line, accepted if there is none.
+    RESULT: all errors, the first cause and its line, accepted if there is none.
 
     An empty module is valid, an empty XML file is not; a null content was not scanned and gives no row, and so do other
     extensions and a null rel_path. Repeated rows give their row again. Files are parsed where they lie, without a shuffle.

@@ -78,3 +78,8 @@ def test_tables(spark):
 def test_null_and_huge_ids(spark):
     df = spark.createDataFrame([(i, "a", "p", "x.bsl", b"(") for i in (None, (1 << 62) + 1)], "file_id bigint, config_id string, file_path string, rel_path string, content binary")
     assert {r.file_id for r in parse_files(df).collect()} == {None, (1 << 62) + 1}
+
+
+def test_no_error_of_a_long_module_is_left_out():
+    found = module_errors(("Процедура П()\n" + "А = ;\n" * 2500).encode())
+    assert found[0] == (1, "Procedure is not closed") and [n for n, _ in found[1:]] == list(range(2, 2502))
