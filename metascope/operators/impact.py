@@ -79,10 +79,10 @@ def overlay_report(rows: DataFrame) -> DataFrame:
     )
 
 
-def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def upsert(current: DataFrame, new: DataFrame, keys: list[str], of: DataFrame | None = None) -> DataFrame:
     """K7: the current rows whose key isn't among the new ones, and the new ones: all rows of a key are replaced. Keys with
-    null replace keys with null."""
-    k = new.select(*[F.col(c).alias(f"_u_{c}") for c in keys]).distinct()
+    null replace keys with null. of: the keys to replace, where some of them may have no new rows."""
+    k = (new if of is None else of).select(*[F.col(c).alias(f"_u_{c}") for c in keys]).distinct()
     kept = current.join(k, [F.col(c).eqNullSafe(F.col(f"_u_{c}")) for c in keys], "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 

@@ -373,12 +373,13 @@ class Engine:
         return c.unionByName(g).unionByName(f.select("section", "name", "n"))
 
     def reindex_path(self, store: TableStore, path: str = "", rebuild_graph: bool = True) -> dict:
-        """Replaces the methods of the files at or below a path in the store, and the configuration's graph."""
+        """Replaces the methods of the files at or below a path in the store, with the note of their versions, and the
+        configuration's graph. A file that has no methods any more has none in the store."""
         p = path.replace("\\", "/").strip("/")
         rel = exports.slashes(F.col("rel_path"))
         hit = self.files.filter((F.lit(p) == "") | (rel == p) | rel.startswith(p + "/"))
-        m = modules.methods(hit).withColumn("file_path", F.col("rel_path"))
-        version = store.replace_files("methods", m)
+        m = modules.methods(hit).withColumn("file_path", rel)
+        version = store.replace_versions("methods", m, hit.select("config_id", rel.alias("file_path"), "scanned_at", "file_id"))
         if rebuild_graph:
             n, e = graph.build_graph(descriptors.objects(self.files), descriptors.forms(self.files), modules.methods(self.files), modules.modules(self.files))
             write_graph(store, n.drop("node_seq"), e.drop("seq"), self.config_id)

@@ -47,6 +47,8 @@ class TableStore:
         last = self.current(table)
         v = f"v{int(last[1:9]) + 1 if last else 1:08d}-{uuid.uuid4().hex[:8]}"
         df.write.partitionBy(*partition_by).parquet(f"{self.folder}/{table}/{v}")
+        if all(s.getPath().getName().startswith("_") for s in self._fs.listStatus(self._path(f"{table}/{v}"))):  # no rows, no partitions: a file that has the schema
+            self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{self.folder}/{table}/{v}")
         self._fs.mkdirs(self._path(f"{table}/_versions"))
         made = self._path(f"{table}/_made-{v}")
         self._fs.create(made).close()
@@ -59,10 +61,28 @@ class TableStore:
         old = self.read(table)
         return self.write(table, df if old is None else old.filter(F.col("config_id") != config_id).unionByName(df, allowMissingColumns=True))
 
-    def replace_files(self, table: str, df: DataFrame) -> str:
-        """K7: the table with all rows of the given files (config_id, file_path) replaced."""
+    def replace_files(self, table: str, df: DataFrame, files: DataFrame | None = None) -> str:
+        """K7: the table with all rows of the given files (config_id, file_path) replaced; without `files`, of those in df. A
+        given file that has no rows in df has none afterwards."""
         old = self.read(table)
-        return self.write(table, df if old is None else upsert(old, df, ["config_id", "file_path"]))
+        return self.write(table, df if old is None else upsert(old, df, ["config_id", "file_path"], files))
+
+    def newer_files(self, table: str, files: DataFrame) -> DataFrame:
+        """Those of the files (config_id, file_path, scanned_at, file_id) that are newer than what replace_versions put into
+        the table: a greater scanned_at, ties: file_id."""
+        old = self.read(f"{table}_files")
+        if old is None:
+            return files
+        o = old.select(F.col("config_id").alias("_c"), F.col("file_path").alias("_p"), F.struct("scanned_at", "file_id").alias("_v"))
+        same = F.col("config_id").eqNullSafe(F.col("_c")) & F.col("file_path").eqNullSafe(F.col("_p"))
+        return files.join(o, same & (F.struct("scanned_at", "file_id") <= F.col("_v")), "left_anti")
+
+    def replace_versions(self, table: str, df: DataFrame, files: DataFrame) -> str:
+        """replace_files, and then a note of the files' versions in <table>_files: a failure between the two leaves the older
+        note, so that the repeated step replaces the same files again."""
+        v = self.replace_files(table, df, files)
+        self.replace_files(f"{table}_files", files)
+        return v
 
 
 def write_graph(store: TableStore, nodes: DataFrame, edges: DataFrame, config_id: str, structural: bool = False) -> None:

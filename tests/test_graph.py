@@ -1,5 +1,5 @@
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -179,3 +179,39 @@ def test_streaming_ingest(spark, data, tmp_path):
         ingest_methods(spark, str(tmp_path / "in"), store, str(tmp_path / "cp")).awaitTermination(100)
     assert store.read("methods").count() > 0 and len({r.rel_path for r in store.read("methods").select("rel_path").distinct().collect()}) > 0
     assert change_counts(spark, str(tmp_path / "in")).isStreaming and timedelta(days=1)
+
+
+VERSIONS = "file_id bigint, config_id string, file_path string, rel_path string, mtime timestamp_ntz, length bigint, content binary, scanned_at timestamp_ntz"
+
+
+def versions(spark, *rows):
+    """(file_id, rel_path, day of scanned_at, content)"""
+    return spark.createDataFrame([(i, "a", p, p, None, len(c), c.encode(), datetime(2025, 1, 1) + timedelta(days=d)) for i, p, d, c in rows], VERSIONS).coalesce(1)
+
+
+def test_ingest_takes_the_newest_of_all_batches(spark, tmp_path):
+    from metascope.streaming.ingest import ingest_methods
+
+    method = lambda n: f"Процедура {n}()\nКонецПроцедуры\n"
+    store = TableStore(spark, str(tmp_path / "out"))
+    steps = [
+        ([(1, "A/x.bsl", 5, method("П5")), (2, "A/y.bsl", 5, method("У5"))], ["П5", "У5"]),
+        ([(3, "A/x.bsl", 4, method("П4")), (4, "A\\x.bsl", 3, method("П3"))], ["П5", "У5"]),  # older ones come later
+        ([(5, "A/y.bsl", 6, "// пусто"), (6, "A/x.bsl", 5, method("П5а"))], ["П5а"]),  # no methods; a tie goes to the greater file_id
+        ([(7, "A/y.bsl", 5, method("У5"))], ["П5а"]),  # what was cleared stays so
+        ([(8, "A/x.bsl", 7, "")], []),
+        ([(9, "A/y.bsl", 8, method("У8"))], ["У8"]),
+    ]
+    for rows, names in steps:
+        versions(spark, *rows).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest_methods(spark, str(tmp_path / "in"), store, str(tmp_path / "cp")).awaitTermination(100)
+        assert sorted(r.method_name for r in store.read("methods").collect()) == names
+
+
+def test_reindex_clears_files_without_methods(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    for n, content in enumerate(["Процедура П()\nКонецПроцедуры", "// пусто"]):
+        e = Engine.__new__(Engine)
+        e.__dict__.update(config_id="a", files=versions(spark, (n, "A/x.bsl", n, content)))
+        e.reindex_path(store, rebuild_graph=False)
+        assert store.read("methods").count() == 1 - n
