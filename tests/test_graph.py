@@ -215,3 +215,17 @@ def test_reindex_clears_files_without_methods(spark, tmp_path):
         e.__dict__.update(config_id="a", files=versions(spark, (n, "A/x.bsl", n, content)))
         e.reindex_path(store, rebuild_graph=False)
         assert store.read("methods").count() == 1 - n
+
+
+def test_late_versions_are_counted(spark, tmp_path):
+    from metascope.streaming.ingest import change_counts
+
+    got = {}
+
+    def keep(df, _):
+        got.update({r.window.start.day: (r.versions, r.bytes) for r in df.collect()})
+
+    for rows in ([(1, "x", 9, "a"), (2, "y", 9, "bb")], [(3, "x", 9, "c")], [(4, "x", 1, "ddd"), (5, "y", 9, "e")]):
+        versions(spark, *rows).write.mode("append").parquet(str(tmp_path / "in"))
+        change_counts(spark, str(tmp_path / "in")).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(100)
+    assert got == {10: (4, 5), 2: (1, 3)}
