@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -219,16 +220,20 @@ def build_graph(objects: DataFrame, forms: DataFrame, methods: DataFrame, module
 # --- trees ------------------------------------------------------------------------------------------------------------
 
 
-def element_tree(edges: DataFrame, top: DataFrame, edge_type: str = "contains_child_element", most_levels: int = 1000) -> DataFrame:
+def element_tree(edges: DataFrame, top: DataFrame, edge_type: str = "contains_child_element", most_levels: int | None = None) -> DataFrame:
     """Every element below the given top ones, level by level: config_id, root_id, id, depth. An element is taken at its
-    first level below each root, so cycles end. One join a level over the edges of that type."""
+    first level below each root, so cycles end. One join a level over the edges of that type, until a level is empty; a tree
+    of more than `most_levels` levels, if given, is an error."""
     step = cut(edges.filter(F.col("edge_type") == edge_type).select("config_id", F.col("from_id").alias("id"), F.col("to_id").alias("_to")).filter("id is not null and _to is not null").distinct())
     level = cut(top.select("config_id", F.col("id").alias("root_id"), "id").distinct().withColumn("depth", F.lit(0)))
     out = level
-    for depth in range(1, most_levels):
+    for depth in count(1):
         nxt = level.join(step, ["config_id", "id"]).select("config_id", "root_id", F.col("_to").alias("id")).distinct()
         level = cut(nxt.join(out.select("config_id", "root_id", "id"), ["config_id", "root_id", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
-            break
+            return out
+        if most_levels is not None and depth >= most_levels:
+            raise ValueError(f"the tree has more than {most_levels} levels")
         out = out.unionByName(level)
-    return out
+        if depth % 50 == 0:  # keeps the plan small in deep trees
+            out = cut(out)

@@ -67,6 +67,14 @@ def test_tree_with_a_cycle(spark):
     assert {(r.id, r.depth) for r in graph.element_tree(e, top).collect()} == {("a", 0), ("b", 1), ("c", 1)}
 
 
+def test_tree_is_never_cut_silently(spark):
+    e = edges(spark, [(f"n{i}", f"n{i + 1}", "contains_child_element") for i in range(5)])
+    top = spark.createDataFrame([("a", "n0")], "config_id string, id string")
+    assert sorted(r.depth for r in graph.element_tree(e, top).collect()) == list(range(6)) == sorted(r.depth for r in graph.element_tree(e, top, most_levels=6).collect())
+    with pytest.raises(ValueError):
+        graph.element_tree(e, top, most_levels=3)
+
+
 def test_hot_neighbours_are_salted(spark, monkeypatch):
     monkeypatch.setattr("metascope.operators.skew.hot_keys.__defaults__", (10,))
     n = spark.createDataFrame([("a", "hub", "metadata", "f", "Hub")], "config_id string, id string, kind string, file_path string, object_name string").withColumns({c: F.lit(None).cast("string") for c in ("form_name", "module_path", "method_name", "command_name", "handler_name", "element_name")})
