@@ -82,7 +82,6 @@ _AT = r"(?:@|＠|\s?[\[({<]\s?(?:at|собака|эт)\s?[\])}>]\s?|[ \xa0](?:с
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|точка|тчк)\s?[\])}]\s?|[ \xa0](?:dot|точка)[ \xa0])"
 _EMAIL = re.compile(rf"(?<![\w.+\-])[A-Za-z0-9А-Яа-яЁё_][\w.+\-]*(?:{_AT}(?:[\w\-]+{_DOT})+[A-Za-zА-Яа-яЁё]{{2,24}}|[ \xa0]at[ \xa0](?:[\w\-]+[ \xa0](?:dot|точка)[ \xa0])+[A-Za-zА-Яа-яЁё]{{2,24}})(?![\w])", re.I)
 _EMAIL_AT = re.compile(r"[@＠]|(?<=[ \xa0])[Сс][Оо][Бб][Аа][Кк][Аа](?!\w)|[\[({<]\s?(?:[Aa][Tt]|[Ээ][Тт]|[Сс][Оо][Бб][Аа][Кк][Аа]|a)\s?[\])}>]|(?<=[ \xa0])[Aa][Tt](?=[ \xa0][\w\-]+[ \xa0](?:dot|DOT|точка)[ \xa0])")
-_EMAIL_HINTS = ("@", "＠", "обака", "ОБАКА", "at)", "at]", "AT)", "AT]", "at }", "at )", "at ]", "эт)", "эт]", " dot ", " точка ", "(a)")
 _SEP = r"(?:[ \t\xa0\u2009\u202f]?[(.\-\u2010-\u2015/]?[ \t\xa0\u2009\u202f]?)"
 _PHONE = re.compile(rf"(?<![\w.+\-/№#])(?:\+\d{{1,3}}{_SEP}|[78]{_SEP})?(?:\(\d{{2,5}}\)|\d{{2,5}}){_SEP}\d{{2,4}}(?:{_SEP}\d{{2,4}}){{1,4}}(?![\w])(?!\.\d)")
 _ID = re.compile(
@@ -186,8 +185,6 @@ def _people(text: str) -> Iterator[Span]:
 
 
 def _emails(text: str) -> Iterator[Span]:
-    if not any(h in text for h in _EMAIL_HINTS):
-        return
     last = -1
     for at in _EMAIL_AT.finditer(text):
         a = at.start()

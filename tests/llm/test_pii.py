@@ -82,3 +82,12 @@ def test_overlaps_are_resolved():
 
     chosen = Model({k: np.array([5.0] + [0.0] * 30) for k in ("person", "email")}).choose(spans)
     assert [s.kind for s in chosen] == ["person", "email"] and all(a.end <= b.start for a, b in zip(chosen, chosen[1:]))
+
+
+def test_bracketed_emails_without_a_sign():
+    from metascope.llm.pii import _emails
+
+    for at in ("{at}", "<at>", "(At)", "[At]", "{эт}", "<эт>", "{ at }", "[at]"):
+        text = f"пишите на ivan.petrov{at}mail.ru сегодня"
+        assert [text[s.start : s.end] for s in _emails(text)] == [f"ivan.petrov{at}mail.ru"], at
+    assert not list(_emails("без адреса"))
