@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 HOT_ROWS, HOT_KEYS, SALTS = 50_000, 1000, 64
 
 
-def hot_keys(left: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(left: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
     """The keys of `left` that hold at least max(hot_rows, rows / HOT_KEYS) rows. Counted with map-side partial sums,
-    so a hot group is never gathered; at most HOT_KEYS rows come out, which bounds the broadcast of the result."""
-    least = max(hot_rows, left.count() // HOT_KEYS)
-    return left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*keys)
+    so a hot group is never gathered; the sum of all counts comes from the same counts, in the same query. At most
+    HOT_KEYS rows come out, which bounds the broadcast of the result."""
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    least = F.greatest(F.lit(HOT_ROWS if hot_rows is None else hot_rows).cast("bigint"), F.expr(f"_all div {HOT_KEYS}"))
+    return counts.crossJoin(counts.agg(F.sum("_n").alias("_all"))).filter(F.col("_n") >= least).select(*keys)  # one row beside the counts
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, also: Column | None = None, hot: DataFrame | None = None, salts: int = SALTS) -> DataFrame:

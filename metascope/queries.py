@@ -72,10 +72,16 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p4_fou
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_DIRECT} SELECT DISTINCT seq FROM direct",
     "p1_report": f"""WITH RECURSIVE {_DIRECT},
-owned AS (SELECT * FROM e WHERE from_key IS NOT NULL AND to_key IS NOT NULL AND edge_type IN {orphans.OWNERSHIP} AND seq NOT IN (SELECT seq FROM direct)),
-lost AS (SELECT DISTINCT config_id, to_key FROM direct UNION SELECT o.config_id, o.to_key FROM owned o JOIN lost l ON o.config_id = l.config_id AND o.from_key = l.to_key),
-every AS (SELECT edge_type, observed_at, 1 AS d FROM direct UNION ALL SELECT edge_type, observed_at, 0 FROM owned o WHERE EXISTS (SELECT 1 FROM lost l WHERE l.config_id = o.config_id AND l.to_key = o.from_key))
-SELECT edge_type, strftime(observed_at, '%Y-%m') AS month, CAST(sum(d) AS BIGINT) AS direct, CAST(sum(1 - d) AS BIGINT) AS inherited FROM every GROUP BY ALL""",
+scope AS (SELECT config_id AS s, config_id AS c FROM edges WHERE config_id IS NOT NULL UNION SELECT config_id, base_config_id FROM configs WHERE config_id IS NOT NULL AND base_config_id IS NOT NULL),
+own AS (SELECT DISTINCT s, seq, config_id, from_key, to_key, edge_type, observed_at FROM e JOIN scope ON c = config_id WHERE from_key IS NOT NULL AND to_key IS NOT NULL AND observed_at IS NOT NULL AND edge_type IN {orphans.OWNERSHIP}),
+span AS (SELECT s, k, recorded_at AS a, until AS b FROM n JOIN scope ON c = config_id WHERE recorded_at < until),
+judged AS (SELECT o.*, coalesce(bool_or(a <= observed_at AND observed_at < b), false) AS there, coalesce(max(b) FILTER (b <= observed_at), TIMESTAMP '0001-01-01') AS g0, coalesce(min(a) FILTER (a > observed_at), TIMESTAMP '9999-12-31 23:59:59') AS g1
+  FROM own o LEFT JOIN span ON span.s = o.s AND k = from_key GROUP BY ALL),
+first AS (SELECT * FROM judged WHERE NOT there),
+hang AS (SELECT DISTINCT s, to_key AS k, g0, g1 FROM first UNION SELECT o.s, o.to_key, h.g0, h.g1 FROM own o JOIN hang h ON o.s = h.s AND o.from_key = h.k AND h.g0 <= o.observed_at AND o.observed_at < h.g1),
+inh AS (SELECT seq FROM first WHERE s = config_id UNION SELECT o.seq FROM own o JOIN hang h ON o.s = h.s AND o.from_key = h.k AND h.g0 <= o.observed_at AND o.observed_at < h.g1 WHERE o.s = o.config_id),
+every AS (SELECT edge_type, observed_at, 1 AS d, seq IN (SELECT seq FROM inh) AS both_ FROM direct UNION ALL SELECT edge_type, observed_at, 0, false FROM e WHERE seq IN (SELECT seq FROM inh) AND seq NOT IN (SELECT seq FROM direct))
+SELECT edge_type, strftime(observed_at, '%Y-%m') AS month, CAST(sum(d) AS BIGINT) AS direct, CAST(sum(1 - d) AS BIGINT) AS inherited, CAST(count_if(both_) AS BIGINT) AS direct_and_inherited FROM every GROUP BY ALL""",
     "p5_found": f"WITH {_LEDGER} SELECT DISTINCT file_id FROM work WHERE state = 'pending'",
     "p5_files": f"WITH {_LEDGER} SELECT config_id, rel_path, file_path, file_id, mtime FROM work WHERE state = 'pending'",
     "p5_ledger": f"WITH {_LEDGER} SELECT config_id, state, count(*) AS items FROM work GROUP BY ALL",

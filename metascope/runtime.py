@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and read back from the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` computed once, written as a table into the shared folder and read back, so that a lost executor costs no
+    recomputation and the optimizer knows its size. The table goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    name = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)
 
 
 def clean_key(col):
     """An identifier without outer blanks and letter case; null where nothing is left."""
-    key = F.lower(F.btrim(col, F.lit(BLANKS)))
-    return F.when(key != "", key)
+    return F.nullif(F.lower(F.btrim(col, F.lit(BLANKS))), F.lit(""))
 
 
 def ship(spark: SparkSession) -> bool:
