@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metascope.runtime import cut
+
 #: Fields whose value may come as a list, a single item, JSON text, null or nothing.
 LISTS = frozenset({"forms", "elements", "events", "by_event", "sources", "type", "type_set", "group", "commands"})
 ITEMS = "record_id bigint, label string, parent_label string, item_kind string, item_key string, parent_key string, name string, item_type string, event string, handler string"
@@ -93,21 +96,28 @@ def _loads_deep(text: str):
 
 
 class Label:
-    """A Dewey label: the parent's label and the ordinal among its children, from 1. Truncation is a step to `up`; what it
-    would find is kept: `owner`, the nearest label at or above that names an element or a form, and `form`, the nearest
-    form, so that a parent is found at once at any depth."""
-
-    __slots__ = ("up", "ordinal", "field", "node", "kind", "key", "owner", "form")
-
-    def __init__(self, up: Label | None, ordinal: int, field: str, node):
-        self.up, self.ordinal, self.field, self.node, self.kind, self.key = up, ordinal, field, node, "", ""
-        self.owner: Label | None = up.owner if up else None
-        self.form: Label | None = up.form if up else None
-
-    def names(self, kind: str, key: str) -> None:
-        self.kind, self.key, self.owner = kind, key, self
-        if kind != "element":
-            self.form = self
+    """A Dewey label: the ordinals from the root down, each among the children of its parent and from 1. It is kept as its
+    last ordinal and the label without it (`up`), so that truncation is one step and labels share what they have in common.
+    `path` is the number of the schema path; kind and key are set if the node is a row of a table."""
+
+    __slots__ = ("up", "ordinal", "path", "field", "node", "kind", "key", "_at")
+
+    def __init__(self, up: Label | None, ordinal: int, path: int, field: str, node):
+        self.up, self.ordinal, self.path, self.field, self.node = up, ordinal, path, field, node
+        self.kind, self.key, self._at = "", "", None
+
+    def truncated(self, kinds: frozenset[str]) -> Label | None:
+        """The longest truncation of this label that is a row of one of the kinds."""
+        at, passed = self.up, []
+        while at is not None and at.kind not in kinds:
+            if at._at is not None and at._at[0] is kinds:
+                at = at._at[1]
+                break
+            passed.append(at)
+            at = at.up
+        for x in passed:  # so that a label that many share is truncated once
+            x._at = (kinds, at)
+        return at
 
     def __str__(self) -> str:
         out, at = [], self
@@ -117,22 +127,46 @@ class Label:
         return ".".join(reversed(out))
 
 
-def labelled(value) -> Iterator[Label]:
-    """The label of every node in document order; the items of a list take the list's field. JSON text in one of LISTS
-    counts as what it says."""
-    stack = [Label(None, 0, "", value)]
+class Paths:
+    """Schema paths, the fields from the root down without ordinals, as numbers; and for each the group that its nodes
+    belong to. A group follows from the parent path's group and the last field alone."""
+
+    #: (group of the parent path, field) -> group; None stands for any group (fixed names of the exports).
+    GROUPS = {
+        (None, "subscription"): "subscription", (None, "elements"): "elements", (None, "commands"): "commands", (None, "events"): "events", ("events", "by_event"): "by_event",
+        (None, "sources"): "sources", (None, "type"): "sources", (None, "type_set"): "sources", (None, "group"): "sources",
+    }
+
+    def __init__(self):
+        self.number: dict[tuple[int, str], int] = {}
+        self.group = [""]
+
+    def child(self, path: int, field: str) -> int:
+        n = self.number.get((path, field))
+        if n is None:
+            n = self.number[path, field] = len(self.group)
+            self.group.append(self.GROUPS.get((self.group[path], field)) or self.GROUPS.get((None, field), ""))
+        return n
+
+
+def labelled(value, paths: Paths) -> Iterator[Label]:
+    """The label of every node in document order; the items of a list have the list's schema path. JSON text in one of
+    LISTS counts as what it says."""
+    stack = [Label(None, 0, 0, "", value)]
     while stack:
         at = stack.pop()
-        if at.up is not None:  # what the nodes above came to name
-            at.owner, at.form = at.up.owner, at.up.form
         if isinstance(at.node, str) and at.field in LISTS and at.node.lstrip()[:1] in _OPEN:
             inner = _loads(at.node)
             at.node = at.node if inner is None else inner
         yield at
         if isinstance(at.node, dict):
-            stack.extend([Label(at, i, k, v) for i, (k, v) in enumerate(at.node.items(), 1)][::-1])
+            stack.extend([Label(at, i, paths.child(at.path, k), k, v) for i, (k, v) in enumerate(at.node.items(), 1)][::-1])
         elif isinstance(at.node, list):
-            stack.extend([Label(at, i, at.field, v) for i, v in enumerate(at.node, 1)][::-1])
+            stack.extend([Label(at, i, at.path, at.field, v) for i, v in enumerate(at.node, 1)][::-1])
+
+
+#: A lone half of a surrogate pair, which JSON may hold and no table can.
+_HALF = re.compile("[\ud800-\udfff]")
 
 
 def _text(x) -> str:
@@ -141,7 +175,10 @@ def _text(x) -> str:
         return ""
     if isinstance(x, bool):
         return "true" if x else "false"
-    return str(x) if str(x).strip() else ""
+    text = str(x)
+    if not text.strip():
+        return ""
+    return text if text.isascii() else _HALF.sub("\ufffd", text)
 
 
 def _handlers(x) -> list[str]:
@@ -156,59 +193,79 @@ def _handlers(x) -> list[str]:
     return [_text(x)] if _text(x) else []
 
 
-def flat_items(record_id, payload: str | None, labels: bool = True) -> list[tuple]:
-    """The rows of ITEMS of one record; none if the payload is null or not complete JSON. Without labels these are null,
-    and the work is linear in the payload whatever its depth."""
-    value = _loads(payload.lstrip("\ufeff")) if isinstance(payload, str) else None
-    if value is None:
-        return []
-    rows: list[tuple] = []
+_OWNERS, _FORMS, _SUBSCRIPTIONS = frozenset({"form", "element", "subscription"}), frozenset({"form"}), frozenset({"subscription"})
 
-    def row(at: Label, up: Label | None, kind, key, name=None, item_type=None, event=None, handler=None) -> None:
-        rows.append((record_id, str(at) if labels else None, str(up) if labels and up else None, kind, key, up.key if up else None, name, item_type, event, handler))
 
-    for at in labelled(value):
-        node, field, above, owner = at.node, at.field, at.up, at.owner
+def flat_items(record_id, payload: str | None, texts: bool = True) -> Iterator[tuple]:
+    """The rows of ITEMS of one record; none if the payload is null or not complete JSON. Every node gets its label and its
+    schema path; the path's group and the node's shape tell the table; the parent is the longest truncation of the label
+    that is a row of the parents' tables. texts: whether the labels are written out as text."""
+    value = _loads(payload.lstrip("\ufeff")) if isinstance(payload, str) else None
+    if value is None:
+        return
+    paths = Paths()
+    out = lambda at, up, kind, key, name=None, item_type=None, event=None, handler=None: (
+        record_id, str(at) if texts else None, str(up) if texts and up else None, kind, key, up.key if up else None, name, item_type, event, handler,
+    )
+    for at in labelled(value, paths):
+        node, group, above = at.node, paths.group[at.path], at.up
         within = above.node if above is not None else None
-        is_form = owner is not None and owner.kind in ("element", "form")
         if isinstance(node, dict):
-            if field != "elements" and "form_name" in node:
-                at.names("form", _text(node["form_name"]))
-                row(at, None, "form", at.key, at.key, _text(node.get("owner")) or None)
-            elif field == "subscription" or (above is None and "sources" in node):
-                at.names("subscription", (_handlers(node.get("handler")) or [""])[0])
-                row(at, None, "subscription", at.key, _text(node.get("name")) or None, None, _text(node.get("event")) or None, at.key)
-            elif field == "elements" and is_form:
-                name = _text(node.get("element_name"))
-                at.names("element", f"{at.form.key}/{_text(node.get('element_id')) or name}")
-                row(at, owner, "element", at.key, name or None, _text(node.get("element_type")) or None)
-            elif field == "commands" and is_form:
-                name = _text(node.get("command_name"))
-                row(at, at.form, "command", f"{at.form.key}/{name}", name, None, None, _text(node.get("action")) or None)
+            if group != "elements" and "form_name" in node:
+                at.kind, at.key = "form", _text(node["form_name"])
+                yield out(at, None, "form", at.key, at.key, _text(node.get("owner")) or None)
+            elif group == "subscription" or (above is None and "sources" in node):
+                at.kind, at.key = "subscription", (_handlers(node.get("handler")) or [""])[0]
+                yield out(at, None, "subscription", at.key, _text(node.get("name")) or None, None, _text(node.get("event")) or None, at.key)
+            elif group in ("elements", "commands") and (up := at.truncated(_OWNERS)) is not None and up.kind != "subscription":
+                form = up if up.kind == "form" else up.truncated(_FORMS)
+                name = _text(node.get("element_name" if group == "elements" else "command_name"))
+                if group == "elements":
+                    at.kind, at.key = "element", f"{form.key}/{_text(node.get('element_id')) or name}"
+                    yield out(at, up, "element", at.key, name or None, _text(node.get("element_type")) or None)
+                else:
+                    yield out(at, form, "command", f"{form.key}/{name}", name, None, None, _text(node.get("action")) or None)
         # handlers: an item of events with event and handler, or a member of an object by event name
-        if field == "events" and isinstance(node, dict) and "event" in node and is_form:
-            for h in _handlers(node.get("handler")):
-                row(at, owner, "handler", f"{_text(node['event'])}={h}", None, None, _text(node["event"]), h)
-        elif is_form and isinstance(within, dict) and (above.field == "by_event" or (above.field == "events" and not {"event", "by_event"} & within.keys())):
-            for h in _handlers(node):
-                row(at, owner, "handler", f"{field}={h}", None, None, field, h)
-        elif field in ("sources", "type", "type_set", "group") and not isinstance(node, (dict, list)) and _text(node) and owner is not None and owner.kind == "subscription":
-            row(at, owner, "source", _text(node), _text(node), field)
-    return rows
-
-
-def flatten_records(records: DataFrame, labels: bool = True) -> DataFrame:
+        listed = group == "events" and isinstance(node, dict) and "event" in node
+        above_group = paths.group[above.path] if above is not None else ""
+        member = isinstance(within, dict) and (above_group == "by_event" or (above_group == "events" and not {"event", "by_event"} & within.keys()))
+        if listed or member:
+            up = at.truncated(_OWNERS)
+            if up is not None and up.kind != "subscription":
+                event, handlers = (_text(node["event"]), _handlers(node.get("handler"))) if listed else (_text(at.field), _handlers(node))
+                for h in handlers:
+                    yield out(at, up, "handler", f"{event}={h}", None, None, event, h)
+        elif group == "sources" and not isinstance(node, (dict, list)) and (key := _text(node)):
+            up = at.truncated(_OWNERS)
+            if up is not None and up.kind == "subscription":
+                yield out(at, up, "source", key, key, at.field)
+
+
+#: Rows go out as soon as their labels have so many characters, so that a very deep record fills no task's memory.
+_CHARS, _ROWS = 8_000_000, 20_000
+
+
+def flatten_records(records: DataFrame, texts: bool = True) -> DataFrame:
     """Every item of every record with its Dewey label and its parent's, in the columns of ITEMS.
 
     item_kind: form, element, command, handler, subscription, source. A record that was delivered twice, identical in
     payload, counts once; a null, damaged or cut payload gives no rows; JSON that holds none of these gives none.
-    Extra columns are ignored. An element with neither id nor name has the key `form_name/`. Records are labelled one by
-    one where they lie, in Arrow batches: the only shuffle is that of the repeated rows.
+    Extra columns are ignored. An element with neither id nor name has the key `form_name/`. Lone halves of surrogate
+    pairs come out as U+FFFD. Records are labelled one by one where they lie, in Arrow batches: the only shuffle is that of
+    the repeated rows. The text of a label is as long as its node is deep; without texts the work is linear at any depth.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, chars = [], 0
         for b in batches:
-            rows = [r for i, p in zip(b["record_id"], b["payload"]) for r in flat_items(i, p, labels)]
+            for i, p in zip(b["record_id"], b["payload"]):
+                for r in flat_items(i, p, texts):
+                    rows.append(r)
+                    chars += len(r[1] or "") + len(r[2] or "")
+                    if chars > _CHARS or len(rows) >= _ROWS:
+                        yield pd.DataFrame(rows, columns=_COLUMNS)
+                        rows, chars = [], 0
+        if rows:
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
     # ids travel as text: pandas would turn a column with nulls into floats
@@ -216,21 +273,26 @@ def flatten_records(records: DataFrame, labels: bool = True) -> DataFrame:
     return rows.mapInPandas(run, ITEMS.replace("record_id bigint", "record_id string")).withColumn("record_id", F.col("record_id").cast("bigint")).distinct()
 
 
+#: The related flat tables and their columns.
+TABLES = {
+    "forms": ("form", "item_key as form_name", "item_type as owner"),
+    "elements": ("element", "item_key as element_key", "parent_key", "name as element_name", "item_type as element_type"),
+    "commands": ("command", "name as command_name", "parent_key", "handler as action"),
+    "handlers": ("handler", "event", "handler", "parent_key"),
+    "subscriptions": ("subscription", "name as subscription_name", "event", "handler"),
+    "sources": ("source", "item_key as source", "parent_key"),
+}
+
+
 def record_tables(records: DataFrame) -> dict[str, DataFrame]:
-    """The related flat tables: forms, elements, commands, handlers, subscriptions, sources. parent_label refers to the
-    label of the parent's row in the same record."""
-    items = flatten_records(records)
-    of = lambda kind, *cols: items.filter(F.col("item_kind") == kind).select("record_id", "label", "parent_label", *cols)
-    return {
-        "forms": of("form", F.col("item_key").alias("form_name"), F.col("item_type").alias("owner")),
-        "elements": of("element", F.col("item_key").alias("element_key"), "parent_key", F.col("name").alias("element_name"), F.col("item_type").alias("element_type")),
-        "commands": of("command", F.col("name").alias("command_name"), "parent_key", F.col("handler").alias("action")),
-        "handlers": of("handler", "event", "handler", "parent_key"),
-        "subscriptions": of("subscription", F.col("name").alias("subscription_name"), "event", "handler"),
-        "sources": of("source", F.col("item_key").alias("source"), "parent_key"),
-    }
+    """The related flat tables of TABLES, each with record_id, label and parent_label, which refers to the label of the
+    parent's row in the same record. Payloads are parsed once; the items lie in the shared folder by kind, so that each
+    table reads its own."""
+    items = cut(flatten_records(records), "item_kind")
+    return {name: items.filter(F.col("item_kind") == kind).selectExpr("record_id", "label", "parent_label", *cols) for name, (kind, *cols) in TABLES.items()}
 
 
 def found_items(records: DataFrame) -> DataFrame:
-    """record_id, item_kind, item_key, parent_key of the elements, handlers and sources, without repetitions."""
-    return flatten_records(records, labels=False).filter(F.col("item_kind").isin("element", "handler", "source")).select("record_id", "item_kind", "item_key", "parent_key").distinct()
+    """record_id, item_kind, item_key, parent_key of the elements, handlers and sources, without repetitions. Labels are made
+    and truncated as for the tables; only their texts, which this result has no column for, are not written out."""
+    return flatten_records(records, texts=False).filter(F.col("item_kind").isin("element", "handler", "source")).select("record_id", "item_kind", "item_key", "parent_key").distinct()

@@ -35,6 +35,11 @@ def p4_tables(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten_records(table(spark, d, "raw_records"))
 
 
+def _p4_table(name: str) -> Query:
+    """One of the related flat tables; a parse of the payloads makes all six."""
+    return lambda spark, d: nested.record_tables(table(spark, d, "raw_records"))[name]
+
+
 def _sources(spark: SparkSession, d: str) -> list[DataFrame]:
     return [table(spark, d, t) for t in ("export_files", "index_state", "configs", "index_runs")]
 
@@ -69,6 +74,7 @@ work AS (SELECT n.config_id, n.rel_path, v.f AS file_path, v.b AS file_id, v.m A
 """
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_tables, p5_found, p5_files, p5_ledger)}
+QUERIES |= {f"p4_{name}": _p4_table(name) for name in nested.TABLES}
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_DIRECT} SELECT DISTINCT seq FROM direct",
     "p1_report": f"""WITH RECURSIVE {_DIRECT},

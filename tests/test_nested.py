@@ -54,10 +54,16 @@ def test_null_and_huge_ids(spark):
 def test_any_depth():
     deep = "".join('{"element_id":%d,"elements":[' % i for i in range(30_000))
     text = '{"form":{"form_name":"F","elements":[' + deep + "]}" * 30_000 + "]}}"
-    rows = flat_items(1, text, labels=False)
+    rows = flat_items(1, text, texts=False)
     assert sum(r[3] == "element" for r in rows) == 30_000
 
 
+def test_lone_halves_of_pairs(spark):
+    df = spark.createDataFrame([(1, "form", '{"form":{"form_name":"F","elements":[{"element_id":"\\ud800x"}],"events":{"\\udc00":"h"}}}', "x"), (2, "form", json.dumps(FORM), "x")], SCHEMA)
+    got = found_items(df).collect()
+    assert {(r.item_key, r.parent_key) for r in got if r.record_id == 1} == {("F/\ufffdx", "F"), ("\ufffd=h", "F")} and len(got) == 2 + len(WANT)
+
+
 def test_labels_truncate_to_parents(spark):
     tables = record_tables(spark.createDataFrame([(1, "form", json.dumps(FORM), "x")], SCHEMA))
     forms = {r.label for r in tables["forms"].collect()}
