@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metascope.operators import ledger, nested, orphans
-from metascope.plans import export_queries, graph_queries, search_queries, text_queries, tool_queries
+from metascope.plans import export_queries, graph_queries, search_queries, sql_nested, text_queries, tool_queries
 from metascope.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,7 @@ hang AS (SELECT DISTINCT s, to_key AS k, g0, g1 FROM first UNION SELECT o.s, o.t
 inh AS (SELECT seq FROM first WHERE s = config_id UNION SELECT o.seq FROM own o JOIN hang h ON o.s = h.s AND o.from_key = h.k AND h.g0 <= o.observed_at AND o.observed_at < h.g1 WHERE o.s = o.config_id),
 every AS (SELECT edge_type, observed_at, 1 AS d, seq IN (SELECT seq FROM inh) AS both_ FROM direct UNION ALL SELECT edge_type, observed_at, 0, false FROM e WHERE seq IN (SELECT seq FROM inh) AND seq NOT IN (SELECT seq FROM direct))
 SELECT edge_type, strftime(observed_at, '%Y-%m') AS month, CAST(sum(d) AS BIGINT) AS direct, CAST(sum(1 - d) AS BIGINT) AS inherited, CAST(count_if(both_) AS BIGINT) AS direct_and_inherited FROM every GROUP BY ALL""",
+    "p4_found": sql_nested.FOUND_ITEMS,
     "p5_found": f"WITH {_LEDGER} SELECT DISTINCT file_id FROM work WHERE state = 'pending'",
     "p5_files": f"WITH {_LEDGER} SELECT config_id, rel_path, file_path, file_id, mtime FROM work WHERE state = 'pending'",
     "p5_ledger": f"WITH {_LEDGER} SELECT config_id, state, count(*) AS items FROM work GROUP BY ALL",
