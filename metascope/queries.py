@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metascope.operators import ledger, nested, orphans
 from metascope.plans import export_queries, graph_queries, search_queries, sql_nested, text_queries, tool_queries
-from metascope.runtime import table
+from metascope.runtime import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,8 +45,23 @@ def _sources(spark: SparkSession, d: str) -> list[DataFrame]:
     return [table(spark, d, t) for t in ("export_files", "index_state", "configs", "index_runs")]
 
 
+def _work(spark: SparkSession, d: str) -> DataFrame:
+    """What a new run leases from a ledger that holds what the runs noted."""
+    led, token = ledger.run_work(spark, scratch(spark, "ledger"), *_sources(spark, d))
+    return led.leased(token)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.pending_files(*_sources(spark, d)).select("file_id").distinct()
+    return _work(spark, d).select("file_id").distinct()
+
+
+def p5_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run to its end: it leases what is to do, finishes it and finds nothing more to do; items by state."""
+    led, token = ledger.run_work(spark, scratch(spark, "ledger"), *_sources(spark, d))
+    led.complete(token)
+    led.add(ledger.build_ledger(*_sources(spark, d)))
+    led.lease(datetime(9999, 1, 1), timedelta(hours=1))
+    return led.items().groupBy("config_id", "state").agg(F.count(F.lit(1)).alias("items"))
 
 
 def p5_files(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +89,7 @@ work AS (SELECT n.config_id, n.rel_path, v.f AS file_path, v.b AS file_id, v.m A
   FROM newest n LEFT JOIN ok ON n.config_id = ok.config_id AND n.rel_path = ok.rel_path)
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_tables, p5_found, p5_files, p5_ledger)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_tables, p5_found, p5_run, p5_files, p5_ledger)}
 QUERIES |= {f"p4_{name}": _p4_table(name) for name in nested.TABLES}
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_DIRECT} SELECT DISTINCT seq FROM direct",
@@ -90,6 +106,7 @@ every AS (SELECT edge_type, observed_at, 1 AS d, seq IN (SELECT seq FROM inh) AS
 SELECT edge_type, strftime(observed_at, '%Y-%m') AS month, CAST(sum(d) AS BIGINT) AS direct, CAST(sum(1 - d) AS BIGINT) AS inherited, CAST(count_if(both_) AS BIGINT) AS direct_and_inherited FROM every GROUP BY ALL""",
     "p4_found": sql_nested.FOUND_ITEMS,
     "p5_found": f"WITH {_LEDGER} SELECT DISTINCT file_id FROM work WHERE state = 'pending'",
+    "p5_run": f"WITH {_LEDGER} SELECT config_id, 'done' AS state, count(*) AS items FROM work GROUP BY ALL",
     "p5_files": f"WITH {_LEDGER} SELECT config_id, rel_path, file_path, file_id, mtime FROM work WHERE state = 'pending'",
     "p5_ledger": f"WITH {_LEDGER} SELECT config_id, state, count(*) AS items FROM work GROUP BY ALL",
 }

@@ -35,15 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, which goes when the driver's JVM ends."""
+    made = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return made
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """`df` computed once, written as a table into the shared folder and read back, so that a lost executor costs no
-    recomputation and the optimizer knows its size. The table goes when the driver's JVM ends."""
-    spark = df.sparkSession
-    name = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(name)
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(name)
+    recomputation and the optimizer knows its size."""
+    made = scratch(df.sparkSession, "cut")
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(made)
+    return df.sparkSession.read.schema(df.schema).parquet(made)
 
 
 def clean_key(col):

@@ -1,16 +1,17 @@
-"""Sinks: the graph and the chunks as partitioned tables, committed by an atomic rename; a JSON graph; reports."""
+"""Sinks: the graph and the chunks as tables of commits, each an atomic rename; a JSON graph; a graph database; reports."""
 
 from __future__ import annotations
 
 import re
+import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metascope.operators.graph import graph_stats
-from metascope.operators.impact import upsert
+from metascope.sources.deltas import DeltaLog
 
 
 def relation_name(edge_type: Column) -> Column:
@@ -20,52 +21,43 @@ def relation_name(edge_type: Column) -> Column:
 
 
 class TableStore:
-    """Versions of tables in a folder that all executors share. A version is written aside and becomes the current one when
-    a pointer file is renamed onto its place (K1); readers see the old version until then, and a failed write leaves it."""
+    """Tables in a folder that all executors share, each a DeltaLog by (config_id, file_path): replacing a file or a
+    configuration writes its rows and a note of what they replace, not the table. A commit becomes the current version
+    when it is renamed onto its number; readers see the version before until then, and a failed write leaves it. Rows lie
+    sorted by configuration, so that a scan of one skips most row groups."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._jvm = spark._jvm
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    KEYS = ["config_id", "file_path"]
 
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+    def __init__(self, spark: SparkSession, folder: str, every: int = 16):
+        self.spark, self.folder, self.every = spark, folder.rstrip("/"), every
 
-    def current(self, table: str) -> str | None:
-        """The version that holds: the greatest pointer."""
-        at = self._path(f"{table}/_versions")
-        if not self._fs.exists(at):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(at) if not s.getPath().getName().startswith((".", "_")))
-        return names[-1] if names else None
+    def _log(self, table: str) -> DeltaLog:
+        return DeltaLog(self.spark, f"{self.folder}/{table}", self.KEYS, self.every)
+
+    def current(self, table: str) -> int:
+        """The version that holds; 0 before the first."""
+        return self._log(table).version()
 
     def read(self, table: str) -> DataFrame | None:
-        v = self.current(table)
-        return self.spark.read.parquet(f"{self.folder}/{table}/{v}") if v else None
-
-    def write(self, table: str, df: DataFrame, partition_by: Iterable[str] = ("config_id",)) -> str:
-        last = self.current(table)
-        v = f"v{int(last[1:9]) + 1 if last else 1:08d}-{uuid.uuid4().hex[:8]}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.folder}/{table}/{v}")
-        if all(s.getPath().getName().startswith("_") for s in self._fs.listStatus(self._path(f"{table}/{v}"))):  # no rows, no partitions: a file that has the schema
-            self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{self.folder}/{table}/{v}")
-        self._fs.mkdirs(self._path(f"{table}/_versions"))
-        made = self._path(f"{table}/_made-{v}")
-        self._fs.create(made).close()
-        if not self._fs.rename(made, self._path(f"{table}/_versions/{v}")):
-            raise RuntimeError(f"{table} {v} could not be committed")
-        return v
+        return self._log(table).read()
+
+    @staticmethod
+    def _sorted(df: DataFrame) -> DataFrame:
+        return df.sortWithinPartitions("config_id") if "config_id" in df.columns else df
+
+    def write(self, table: str, df: DataFrame) -> int:
+        """The whole table anew."""
+        return self._log(table).commit(lambda old, v: (self._sorted(df), df), 0)
 
-    def replace_configuration(self, table: str, df: DataFrame, config_id: str) -> str:
-        """K2: the table with the rows of one configuration replaced."""
-        old = self.read(table)
-        return self.write(table, df if old is None else old.filter(F.col("config_id") != config_id).unionByName(df, allowMissingColumns=True))
+    def replace_configuration(self, table: str, df: DataFrame, config_id: str) -> int:
+        """K2: the rows of one configuration replaced."""
+        key = self.spark.createDataFrame([(config_id,)], "config_id string")
+        return self._log(table).commit(lambda old, v: (df, key), 1)
 
-    def replace_files(self, table: str, df: DataFrame, files: DataFrame | None = None) -> str:
-        """K7: the table with all rows of the given files (config_id, file_path) replaced; without `files`, of those in df. A
-        given file that has no rows in df has none afterwards."""
-        old = self.read(table)
-        return self.write(table, df if old is None else upsert(old, df, ["config_id", "file_path"], files))
+    def replace_files(self, table: str, df: DataFrame, files: DataFrame | None = None) -> int:
+        """K7: all rows of the given files (config_id, file_path) replaced; without `files`, of those in df. A given file that
+        has no rows in df has none afterwards."""
+        return self._log(table).commit(lambda old, v: (self._sorted(df), files))
 
     def newer_files(self, table: str, files: DataFrame) -> DataFrame:
         """Those of the files (config_id, file_path, scanned_at, file_id) that are newer than what replace_versions put into
@@ -77,7 +69,7 @@ class TableStore:
         same = F.col("config_id").eqNullSafe(F.col("_c")) & F.col("file_path").eqNullSafe(F.col("_p"))
         return files.join(o, same & (F.struct("scanned_at", "file_id") <= F.col("_v")), "left_anti")
 
-    def replace_versions(self, table: str, df: DataFrame, files: DataFrame) -> str:
+    def replace_versions(self, table: str, df: DataFrame, files: DataFrame) -> int:
         """replace_files, and then a note of the files' versions in <table>_files: a failure between the two leaves the older
         note, so that the repeated step replaces the same files again."""
         v = self.replace_files(table, df, files)
@@ -95,9 +87,83 @@ def write_graph(store: TableStore, nodes: DataFrame, edges: DataFrame, config_id
 
 
 def write_json_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """K1: the graph as JSON lines, nodes and edges apart, null attributes left out."""
-    nodes.write.mode("overwrite").json(f"{folder.rstrip('/')}/nodes")
-    edges.write.mode("overwrite").json(f"{folder.rstrip('/')}/edges")
+    """K1: the graph as JSON lines, nodes and edges apart, null attributes left out. It is written aside and then renamed to
+    its place; a failure before that leaves the old graph, and one between the two renames puts it back."""
+    spark, folder = nodes.sparkSession, folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, old = f"{folder}._new-{uuid.uuid4().hex}", f"{folder}._old-{uuid.uuid4().hex}"
+    try:
+        nodes.write.json(f"{new}/nodes")
+        edges.write.json(f"{new}/edges")
+        had = fs.exists(path(folder))
+        if had and not fs.rename(path(folder), path(old)):
+            raise RuntimeError(f"{folder} could not be set aside")
+        if not fs.rename(path(new), path(folder)):
+            if had:
+                fs.rename(path(old), path(folder))
+            raise RuntimeError(f"{folder} could not be committed")
+        if had:
+            fs.delete(path(old), True)
+    finally:
+        fs.delete(path(new), True)
+
+
+def retried(step: Callable[[], None], tries: int = 3, wait: float = 1.0) -> None:
+    """K5: a step that may be repeated, up to `tries` times, each wait twice as long as the one before."""
+    for n in range(tries):
+        try:
+            return step()
+        except Exception:
+            if n + 1 == tries:
+                raise
+            time.sleep(wait * 2**n)
+
+
+#: K2: what a graph database is sent; each statement gets a batch of rows and may be repeated.
+NODE_STATEMENT = "UNWIND $rows AS row MERGE (n:Node {{config_id: row.config_id, id: row.id}}) SET n:{label} SET n += row"
+EDGE_STATEMENT = "UNWIND $rows AS row MATCH (a:Node {{config_id: row.config_id, id: row.from_id}}) MATCH (b:Node {{config_id: row.config_id, id: row.to_id}}) MERGE (a)-[r:{label}]->(b) SET r += row"
+INDEX_STATEMENTS = ("CREATE INDEX ON :Node(id)", "CREATE INDEX ON :Node(config_id)")
+CLEAR_STATEMENT = "MATCH (n:Node {config_id: $config_id}) DETACH DELETE n"
+
+
+def write_graph_database(nodes: DataFrame, edges: DataFrame, config_id: str, connect: Callable[[], object], batch: int = 500, tries: int = 3, parallel: int = 4) -> None:
+    """K2: one configuration's graph into a graph database. connect() gives, on the driver and in each task, an object with
+    run(statement, parameters) and close(). The configuration is cleared first, then nodes, then edges are merged in batches by
+    label, at most `parallel` tasks at once; a failed batch is repeated, and merging makes repeated tasks harmless."""
+
+    def once(statement: str, parameters: dict) -> None:
+        db = connect()
+        try:
+            retried(lambda: db.run(statement, parameters), tries)
+        finally:
+            db.close()
+
+    def send(df: DataFrame, statement: str, label: Column) -> None:
+        names = df.columns
+
+        def run(rows: Iterable) -> None:
+            db, kept = connect(), {}
+            try:
+                for r in rows:
+                    part = kept.setdefault(r["_label"], [])
+                    part.append({c: r[c] for c in names if r[c] is not None})
+                    if len(part) >= batch:
+                        retried(lambda: db.run(statement.format(label=r["_label"]), {"rows": part}), tries)  # noqa: B023
+                        kept[r["_label"]] = []
+                for name, part in kept.items():
+                    if part:
+                        retried(lambda: db.run(statement.format(label=name), {"rows": part}), tries)  # noqa: B023
+            finally:
+                db.close()
+
+        df.withColumn("_label", label).repartition(parallel).foreachPartition(run)
+
+    for s in INDEX_STATEMENTS:
+        once(s, {})
+    once(CLEAR_STATEMENT, {"config_id": config_id})
+    send(nodes, NODE_STATEMENT, relation_name(F.col("kind")))
+    send(edges, EDGE_STATEMENT, relation_name(F.col("edge_type")))
 
 
 #: K6: what can be written, by name.
@@ -110,7 +176,7 @@ def graph_writers(targets: str) -> list:
     unknown = [x for x in names if x not in WRITERS]
     if unknown:
         raise ValueError(f"unknown graph writers: {', '.join(unknown)}")
-    return [WRITERS[x] for x in names]
+    return [(lambda *a, w=WRITERS[x]: retried(lambda: w(*a))) for x in names]
 
 
 def setup_collection(spark: SparkSession, store: TableStore, size: int) -> bool:
@@ -119,7 +185,7 @@ def setup_collection(spark: SparkSession, store: TableStore, size: int) -> bool:
     row = old.select(F.size("embedding").alias("n")).head(1) if old is not None else []
     if old is not None and (not row or row[0]["n"] == size):
         return False
-    store.write("points", spark.createDataFrame([], "id string, config_id string, chunk_type string, file_path string, embedding array<float>, document string"), ("config_id", "chunk_type"))
+    store.write("points", spark.createDataFrame([], "id string, config_id string, chunk_type string, file_path string, embedding array<float>, document string"))
     return True
 
 
