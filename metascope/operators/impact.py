@@ -89,16 +89,18 @@ def upsert(current: DataFrame, new: DataFrame, keys: list[str], of: DataFrame |
 
 def freshness(changed: DataFrame, state: DataFrame, built_at: DataFrame) -> DataFrame:
     """V7: for each changed file whether the state is behind it, and whether the file is newer than what was built of its
-    configuration: config_id, rel_path, stale, newer_than_graph."""
-    st = state.groupBy("config_id", "rel_path").agg(F.max("mtime").alias("_m"))
+    configuration: config_id, rel_path, stale, newer_than_graph. Of several state rows of a file the one written last
+    holds. Where nothing was built, no file is newer than it."""
+    st = state.groupBy("config_id", "rel_path").agg(F.max(F.struct("written_at", "mtime"))["mtime"].alias("_m"))
     b = built_at.groupBy("config_id").agg(F.max("built_at").alias("_b"))
     j = changed.join(st, ["config_id", "rel_path"], "left").join(b, "config_id", "left")
-    return j.select("config_id", "rel_path", (~F.col("mtime").eqNullSafe(F.col("_m"))).alias("stale"), F.coalesce(F.col("mtime") > F.col("_b"), F.lit(True)).alias("newer_than_graph"))
+    return j.select("config_id", "rel_path", (~F.col("mtime").eqNullSafe(F.col("_m"))).alias("stale"), F.coalesce(F.col("mtime") > F.col("_b"), F.lit(False)).alias("newer_than_graph"))
 
 
-def batch_validation(files: DataFrame, diagnostics: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+def batch_validation(files: DataFrame, diagnostics: DataFrame, issues: DataFrame | None = None, server: bool | None = None) -> DataFrame:
     """V3: findings of a validator joined to files by path (any slash and letter case): config_id, file_path, errors,
-    warnings, other, status: failed, warnings, passed, or not_checked without a finding."""
+    warnings, other, status: failed, passed_with_warnings, passed. server: whether a language server that was asked came to
+    its end; if it did not, files without findings have passed_bootstrap_only."""
     path = lambda c: F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
     from metascope.functions.text import severity_col
 
@@ -107,21 +109,25 @@ def batch_validation(files: DataFrame, diagnostics: DataFrame, issues: DataFrame
         found = found.unionByName(issues.select(path(F.col("file_path")).alias("_p"), F.col("severity").alias("_s")))
     counts = found.groupBy("_p").agg(F.count_if(F.col("_s") == "error").alias("errors"), F.count_if(F.col("_s") == "warning").alias("warnings"), F.count(F.lit(1)).alias("_all"))
     j = files.select("config_id", "file_path").distinct().withColumn("_p", path(F.col("file_path"))).join(counts, "_p", "left")
-    status = F.when(F.col("_all").isNull(), "not_checked").when(F.col("errors") > 0, "failed").when(F.col("warnings") > 0, "warnings").otherwise("passed")
+    status = F.when(F.col("errors") > 0, "failed").when(F.col("warnings") > 0, "passed_with_warnings").otherwise("passed_bootstrap_only" if server is False else "passed")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return j.select("config_id", "file_path", zero(F.col("errors")).alias("errors"), zero(F.col("warnings")).alias("warnings"), zero(F.col("_all") - F.col("errors") - F.col("warnings")).alias("other"), status.alias("status"))
 
 
-def post_change_status(v: DataFrame, impact: DataFrame, fresh: DataFrame, files: DataFrame) -> DataFrame:
-    """V8: one row: counts and a status by precedence: no_files, errors, warnings, stale_graph, stale_index, impact, ok."""
+def post_change_status(v: DataFrame, impact: DataFrame, fresh: DataFrame, files: DataFrame, graph: DataFrame | None = None, server: bool | None = None) -> DataFrame:
+    """V8: one row: counts and a status, the first that holds: no_files, failed_validation, incomplete_bsl_ls_validation (the
+    server was asked and did not end), incomplete_graph (a graph is given and has no nodes), needs_reindex (a file is
+    newer than the state or the graph), passed_with_warnings, ready_for_review."""
     one = lambda df, *aggs: df.agg(*aggs)
     a = one(files, F.count(F.lit(1)).alias("files"))
     b = one(v, F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"), F.coalesce(F.sum("warnings"), F.lit(0)).alias("warnings"))
     c = one(fresh, F.count_if("stale").alias("stale"), F.count_if("newer_than_graph").alias("newer"))
     e = one(impact, F.coalesce(F.sum("callers"), F.lit(0)).alias("callers"))
-    row = a.crossJoin(b).crossJoin(c).crossJoin(e)  # four tables of one row each
-    status = F.when(F.col("files") == 0, "no_files").when(F.col("errors") > 0, "errors").when(F.col("warnings") > 0, "warnings").when(F.col("newer") > 0, "stale_graph").when(F.col("stale") > 0, "stale_index").when(F.col("callers") > 0, "impact").otherwise("ok")
-    return row.withColumn("status", status)
+    g = one(graph.select("id").limit(1) if graph is not None else files.limit(0).select(F.lit("").alias("id")), (F.count(F.lit(1)) > 0).alias("_graph"))  # whether there is any
+    row = a.crossJoin(b).crossJoin(c).crossJoin(e).crossJoin(g)  # tables of one row each
+    status = F.when(F.col("files") == 0, "no_files").when(F.col("errors") > 0, "failed_validation").when(F.lit(server is False), "incomplete_bsl_ls_validation")
+    status = status.when(F.lit(graph is not None) & ~F.col("_graph"), "incomplete_graph").when((F.col("newer") > 0) | (F.col("stale") > 0), "needs_reindex").when(F.col("warnings") > 0, "passed_with_warnings").otherwise("ready_for_review")
+    return row.withColumn("status", status).drop("_graph")
 
 
 #: From how many parts on a form is worth a hint.
@@ -130,10 +136,16 @@ LARGE_ELEMENTS, LARGE_COMMANDS, LARGE_EVENTS = 300, 100, 100
 
 def form_hints(nodes: DataFrame, edges: DataFrame, elements: int = LARGE_ELEMENTS, commands: int = LARGE_COMMANDS, events: int = LARGE_EVENTS) -> DataFrame:
     """Hints on forms: config_id, form_id, hint, name, n. Hints: no_commands, no_elements, large_form, many_commands,
-    many_events, duplicate_name, unresolved_handler, passive_command. A part belongs to the form whose id its own id
-    begins with (`kind:form:...`), which is how ids are made."""
+    many_events, duplicate_name, unresolved_handler; passive_command: a button or command element that invokes nothing,
+    handles nothing, has no children and names no command; broken_command: an element that refers to a command and invokes
+    none; hidden_top_level: how many elements at the top are not visible; command_without_handler: a command with an action
+    that is handled by nothing. A part belongs to the form whose id its own id begins with (`kind:form:...`), which is
+    how ids are made. Columns that the nodes don't have (command_ref, visible, action) count as null."""
     inner = F.regexp_extract("id", r"^[a-z_]+:(form:.*)\.[^.]*$", 1)
-    n = nodes.select("config_id", "id", "kind", "element_name", "element_type", "handler_name").filter("id is not null").groupBy("config_id", "id").agg(*[F.max(c).alias(c) for c in ("kind", "element_name", "element_type", "handler_name")])
+    for c, kind in (("command_ref", "string"), ("command_name", "string"), ("action", "string"), ("visible", "boolean")):
+        if c not in nodes.columns:
+            nodes = nodes.withColumn(c, F.lit(None).cast(kind))
+    n = nodes.filter("id is not null").groupBy("config_id", "id").agg(*[F.max(c).alias(c) for c in ("kind", "element_name", "element_type", "handler_name", "command_ref", "command_name", "action", "visible")])
     parts = n.filter(F.col("kind").isin("form_element", "command", "handler")).withColumn("form_id", inner).filter("form_id <> ''")
     count = parts.groupBy("config_id", "form_id").agg(F.count_if(F.col("kind") == "form_element").alias("e"), F.count_if(F.col("kind") == "command").alias("c"), F.count_if(F.col("kind") == "handler").alias("h"))
     forms = n.filter("kind = 'form'").select("config_id", F.col("id").alias("form_id")).join(count, ["config_id", "form_id"], "left").na.fill(0)
@@ -147,9 +159,18 @@ def form_hints(nodes: DataFrame, edges: DataFrame, elements: int = LARGE_ELEMENT
     done = edges.filter("edge_type = 'implements_handler'").select("config_id", F.col("from_id").alias("id")).distinct()
     open_ = parts.filter("kind = 'handler'").join(done, ["config_id", "id"], "left_anti")
     out = out.unionByName(hint(open_, "unresolved_handler", F.col("handler_name"), F.lit(1)))
-    busy = edges.filter(F.col("edge_type").isin("invokes_command", "handles_event", "contains_child_element")).select("config_id", F.col("from_id").alias("id")).distinct()
-    idle = parts.filter("kind = 'form_element'").filter(F.lower("element_type").rlike("button|command")).join(busy, ["config_id", "id"], "left_anti")
-    return out.unionByName(hint(idle, "passive_command", F.col("element_name"), F.lit(1)))
+    from_ = lambda *types: edges.filter(F.col("edge_type").isin(*types)).select("config_id", F.col("from_id").alias("id")).distinct()
+    to = lambda *types: edges.filter(F.col("edge_type").isin(*types)).select("config_id", F.col("to_id").alias("id")).distinct()
+    there = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    element = parts.filter("kind = 'form_element'")
+    idle = element.filter(F.lower("element_type").rlike("button|command") & ~there("command_name")).join(from_("invokes_command", "handles_event", "contains_child_element"), ["config_id", "id"], "left_anti")
+    out = out.unionByName(hint(idle, "passive_command", F.col("element_name"), F.lit(1)))
+    broken = element.filter(there("command_ref")).join(from_("invokes_command"), ["config_id", "id"], "left_anti")
+    out = out.unionByName(hint(broken, "broken_command", F.coalesce("element_name", "id"), F.lit(1)))
+    hidden = element.filter("not visible").join(to("contains_element"), ["config_id", "id"], "left_semi").groupBy("config_id", "form_id").agg(F.count(F.lit(1)).alias("h"))
+    out = out.unionByName(hint(hidden, "hidden_top_level", none, F.col("h")))
+    unheard = parts.filter("kind = 'command'").filter(there("action")).join(from_("handled_by"), ["config_id", "id"], "left_anti")
+    return out.unionByName(hint(unheard, "command_without_handler", F.col("command_name"), F.lit(1)))
 
 
 def context(edges: DataFrame, limit: int = 20) -> DataFrame:

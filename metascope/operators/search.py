@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metascope.functions import text as t
-from metascope.functions.constants import CODE_STOPWORDS, CORE_TYPES, LOW_SIGNAL_TYPES, PRIMARY_TYPES, REGISTER_TYPES, STRUCTURE_LOW_TYPES, STRUCTURE_TYPES
+from metascope.functions.constants import ANCHOR_PREFIXES, ANCHOR_RIVALS, CODE_EXPANSIONS, CODE_STOPWORDS, CORE_TYPES, LOW_SIGNAL_TYPES, PRIMARY_TYPES, REGISTER_TYPES, STRUCTURE_LOW_TYPES, STRUCTURE_TYPES, VALIDATION_MODULES, VALIDATION_SIGNALS
 
 Parts = list[tuple[str, Column]]
 
@@ -54,6 +54,19 @@ class Question:
         """Q2, with the queries of active rules."""
         return list(dict.fromkeys([*t.retrieval_queries(self.text), *[q for r in self.active for q in r.queries if not self.kind or not r.types or self.kind in r.types]]))
 
+    def code_retrieval(self) -> list[str]:
+        """Q5: Q2 by the words for code, with the queries of active rules and, for a question about checks, the expansions."""
+        out = [*t.retrieval_queries(self.text, CODE_STOPWORDS), *[q for r in self.active for q in r.queries]]
+        if self.validation:
+            n = t.normalize(self.text)
+            out += [q for every, some, queries in CODE_EXPANSIONS if all(x in n for x in every) and (not some or any(x in n for x in some)) for q in queries]
+        return list(dict.fromkeys(out))
+
+    @property
+    def anchors(self) -> list[str]:
+        """the question's words that begin as an anchor does, or an anchor as they."""
+        return [k for k in self.kw if any(k.startswith(a) or a.startswith(k) for a in ANCHOR_PREFIXES)]
+
     def lookups(self) -> list[str]:
         """Q1, with the queries of active rules."""
         return list(dict.fromkeys([*t.lookup_queries(self.text), *[q for r in self.active for q in r.queries if not self.kind or not r.types or self.kind in r.types]]))
@@ -105,7 +118,7 @@ def object_parts(q: Question, profile: str, explain: bool = False) -> Parts:
     if q.register:
         a, b, c = w["register"]
         parts.append(("register", F.when(kind.isin(*REGISTER_TYPES), a).when(kind.isin("Catalog", "Subsystem", "Role"), b).when(kind.isin(*LOW_SIGNAL_TYPES), c).otherwise(0.0)))
-    return parts + rule_parts(q, F.array_join(F.concat("_st_object_name", "_st_synonym", "_st_document"), " "), kind, 0.55, 0.9, 0.8)
+    return parts + anchor_parts(q) + rule_parts(q, F.array_join(F.concat("_st_object_name", "_st_synonym", "_st_document"), " "), kind, 0.55, 0.9, 0.8)
 
 
 def rule_parts(q: Question, joined: Column, kind: Column, each: float, two: float, typed: float) -> Parts:
@@ -117,6 +130,38 @@ def rule_parts(q: Question, joined: Column, kind: Column, each: float, two: floa
     return parts
 
 
+def anchor_parts(q: Question) -> Parts:
+    """how many of the question's anchors an object's name and synonym hold; nothing without anchors."""
+    if not q.anchors:
+        return []
+    text = F.array_join(F.concat("_st_object_name", "_st_synonym"), " ")
+    holds = lambda x: F.contains(text, F.lit(x))
+    n = sum((holds(a).cast("int") for a in q.anchors), F.lit(0))
+    score = n * 0.7 + F.when(n >= 2, 1.2).when((n == 1) & F.lit(len(q.anchors) == 1), 0.5).otherwise(0.0) - F.when(n == 0, min(1.4, len(q.anchors) * 0.35)).otherwise(0.0)
+    for word, rival, with_word, with_rival in ANCHOR_RIVALS:
+        if any(a.startswith(word) for a in q.anchors):
+            score += F.when(holds(word), with_word).when(holds(rival), with_rival).otherwise(0.0)
+    return [("anchors", F.when(text != "", score).otherwise(0.0))]
+
+
+def signal_parts(q: Question, signals=VALIDATION_SIGNALS, modules=VALIDATION_MODULES) -> Parts:
+    """F8: for a question about checks, what each signal in a method's name, path and text is worth. Needs _n_method_name,
+    _n_module_path, _n_document and module_type; other signals and modules may be given."""
+    if not q.validation:
+        return []
+    asked_in, where = t.normalize(q.text), {"method": F.col("_n_method_name"), "document": F.col("_n_document")}
+    where["any"] = F.concat_ws(" ", "_n_method_name", "_n_module_path", "_n_document")
+    parts = []
+    for label, field_, phrases, weight, asked, otherwise in signals:
+        if asked in asked_in:
+            parts.append((f"signal_{label}", F.when(t.contains_any_col(where[field_], phrases), weight).otherwise(otherwise)))
+    kind = None
+    for types, begins, weight in modules:
+        test = F.col("module_type").isin(*types) if types else F.col("_n_module_path").startswith(begins)
+        kind = F.when(test, weight) if kind is None else kind.when(test, weight)
+    return [*parts, ("signal_module", kind.otherwise(0.0))] if kind is not None else parts
+
+
 def lookup_parts(q: Question, query: str, explain: bool = False) -> Parts:
     """an object's score as the answer to one lookup query."""
     kind = F.col("object_type")
@@ -129,7 +174,7 @@ def lookup_parts(q: Question, query: str, explain: bool = False) -> Parts:
         parts.append(("navigation", F.when(kind.isin(*CORE_TYPES), 4.0).when(kind.isin(*PRIMARY_TYPES), 1.5).when(kind.isin(*LOW_SIGNAL_TYPES), -2.0).otherwise(0.0)))
     if q.register:
         parts.append(("register", F.when(kind.isin(*REGISTER_TYPES), 3.0).when(kind.isin("Catalog", "Subsystem", "Role"), -3.0).when(kind.isin(*LOW_SIGNAL_TYPES), -2.5).otherwise(0.0)))
-    return parts
+    return parts + anchor_parts(q)
 
 
 def code_parts(q: Question, profile: str) -> Parts:
@@ -148,7 +193,7 @@ def code_parts(q: Question, profile: str) -> Parts:
     if not q.report:
         parts.append(("report", F.when(F.col("module_type") == "Reports", -1.6 if profile == "vector" else -1.8).otherwise(0.0)))
     joined = F.array_join(F.concat("_st_module_path", "_st_method_name", "_st_document"), " ")
-    return parts + rule_parts(q, joined, F.col("module_type"), 0.5, 0.8, 0.6)
+    return parts + signal_parts(q) + rule_parts(q, joined, F.col("module_type"), 0.5, 0.8, 0.6)
 
 
 def module_parts(name: str, module_type: str | None = None) -> Parts:
@@ -159,6 +204,11 @@ def module_parts(name: str, module_type: str | None = None) -> Parts:
     return [*parts, ("exact", F.when(_same("module_path", name), 5.0).when(_same("module_name", name), 4.2).otherwise(0.0))]
 
 
+def module_vector_parts(q: Question) -> Parts:
+    """a module's score besides its cosine. Needs the stems of document."""
+    return [("path", _like("module_path", q.text) * 1.4), ("name", _like("module_name", q.text) * 1.6), *_text("document", q.kw, q.phrase, 0.8)]
+
+
 def object_lookup_parts(name: str, kind: str | None = None) -> Parts:
     """An object by its name; its very id is above all others."""
     parts = [("name", _like("object_name", name) * 1.8), ("synonym", _like("synonym", name) * 1.4)]

@@ -75,7 +75,7 @@ def topk(points: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", v
 
     Exact. A stated query set is compared with all points in blocks: each task multiplies one block of queries with one of
     points and passes on k rows a query. Nothing is collected; rows without id or vector take no part; repeated points
-    count once."""
+    count once. Ids may be numbers or text."""
     p = _blocks(points.select(ident, vector).dropDuplicates([ident]), ident, vector, POINT_BLOCK).select("ids", "vs")
     q = _blocks(queries.select(ident, vector).dropDuplicates([ident]), ident, vector, QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
 
@@ -84,8 +84,9 @@ def topk(points: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", v
             for r in b.itertuples(index=False):
                 yield _best(r.q_ids, r.ids, _unit(r.q_vs) @ _unit(r.vs).T, k, digits)
 
+    kind = points.schema[ident].dataType.simpleString()
     pairs = p.crossJoin(q)  # of blocks: (rows / POINT_BLOCK) x (queries / QUERY_BLOCK)
-    return _ranked(pairs.mapInPandas(run, "query_id bigint, id bigint, score double"), k)
+    return _ranked(pairs.mapInPandas(run, f"query_id {queries.schema[ident].dataType.simpleString()}, id {kind}, score double"), k)
 
 
 def best_per_key(rows: DataFrame, key: str = "id") -> DataFrame:

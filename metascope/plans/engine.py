@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from metascope.functions import text as t
 from metascope.operators import graph, impact, search, vectors
-from metascope.operators.ledger import newest_versions
+from metascope.operators.ledger import newest_versions, pending_files, state_rows
 from metascope.sources import descriptors, exports, language_server, modules
-from metascope.runtime import ship
+from metascope.runtime import cut, ship
 from metascope.sources.sinks import TableStore, write_graph
 
 TABLES = ("nodes", "edges", "chunks", "configs", "export_files", "index_state", "index_runs", "diagnostics")
@@ -47,13 +47,18 @@ class Engine:
             raise KeyError(config_id)
         return replace(self, config_id=config_id)
 
+    def with_vectors(self) -> Engine:
+        """The same engine with vectors of this configuration's chunks and commands by its embedder."""
+        docs = self.tables["chunks"].filter(F.col("config_id") == self.config_id).select("id", "document").unionByName(self.nodes_of("command").select("id", F.concat_ws(" ", "command_name", "document").alias("document")))
+        return replace(self, embeddings=cut(vectors.embed(docs.filter("id is not null and document is not null").dropDuplicates(["id"]), "document", embedder=self.embedder).select("id", "embedding")))
+
     # --- tables of the configuration
     def _own(self, name: str) -> DataFrame:
         return self.tables[name].filter(F.col("config_id") == self.config_id).distinct()
 
     @cached_property
     def nodes(self) -> DataFrame:
-        n = self.tables["nodes"].filter(F.col("config_id") == self.config_id).drop("recorded_at", "deleted_at")
+        n = self.tables["nodes"].filter((F.col("config_id") == self.config_id) & F.col("deleted_at").isNull()).drop("recorded_at", "deleted_at")
         for c in ("owner_object_type", "action", "title", "tooltip", "module_name", "extension_annotation"):
             if c not in n.columns:
                 n = n.withColumn(c, F.lit(None).cast("string"))
@@ -95,9 +100,9 @@ class Engine:
     @cached_property
     def modules(self) -> DataFrame:
         """S9."""
-        s = self.chunks("code_module_summary").groupBy("module_path").agg(F.max("module_type").alias("_t"), F.max("file_path").alias("_f"), F.max("document").alias("document"))
+        s = self.chunks("code_module_summary").groupBy("module_path").agg(F.max("module_type").alias("_t"), F.max("file_path").alias("_f"), F.max("document").alias("document"), F.max("id").alias("id"))
         n = self.nodes_of("module").filter("module_path is not null").groupBy("module_path").agg(F.max("module_type").alias("module_type"), F.max("file_path").alias("file_path"))
-        return n.join(s, "module_path", "left").select("module_path", F.coalesce("_t", "module_type").alias("module_type"), F.split_part("module_path", F.lit("."), F.lit(2)).alias("module_name"), F.coalesce("_f", "file_path").alias("file_path"), F.coalesce("document", F.lit("")).alias("document"))
+        return n.join(s, "module_path", "left").select("module_path", F.coalesce("_t", "module_type").alias("module_type"), F.split_part("module_path", F.lit("."), F.lit(2)).alias("module_name"), F.coalesce("_f", "file_path").alias("file_path"), F.coalesce("document", F.lit("")).alias("document"), "id")
 
     @cached_property
     def commands(self) -> DataFrame:
@@ -110,44 +115,46 @@ class Engine:
     @cached_property
     def subscriptions(self) -> DataFrame:
         """From chunks; from the export's files where there are none."""
-        c = self.chunks("metadata_event_subscription").select("subscription_name", "synonym", "event", "handler_module", "handler_method", "sources", "document")
-        f = descriptors.subscriptions(self.files).select("subscription_name", "synonym", "event", "handler_module", "handler_method", "sources", "document")
+        c = self.chunks("metadata_event_subscription").select("id", "subscription_name", "synonym", "event", "handler_module", "handler_method", "sources", "document")
+        f = descriptors.subscriptions(self.files).select(F.lit(None).cast("string").alias("id"), "subscription_name", "synonym", "event", "handler_module", "handler_method", "sources", "document")
         both = c.unionByName(f.join(c.select("subscription_name"), "subscription_name", "left_anti")).dropDuplicates(["subscription_name"])
         return both.withColumns({"handler": F.concat_ws(".", "handler_module", "handler_method"), "sources_text": F.array_join("sources", " ")})
 
     # --- searching
-    def _cosine(self, q: search.Question, df: DataFrame) -> DataFrame | None:
-        """Rows of `df` (with id) that have a vector, with _cos, the best over the question's retrieval queries."""
+    def _cosine(self, queries: list[str], df: DataFrame, fetch: int) -> DataFrame | None:
+        """The `fetch` rows of `df` (with id) nearest to each query, with _cos, the best over the queries."""
         if self.embeddings is None:
             return None
-        e = self.embeddings.select("id", "embedding")
+        e = self.embeddings.select("id", "embedding").join(df.select("id").filter("id is not null").distinct(), "id", "left_semi")
         row = e.select(F.size("embedding").alias("n")).head(1)
         if not row:
             return None
-        asked = [F.array(*[F.lit(float(x)) for x in self.embedder(x, row[0]["n"])]) for x in q.retrieval()]
-        best = F.greatest(*[vectors.cosine(F.col("embedding"), a) for a in asked]) if len(asked) > 1 else vectors.cosine(F.col("embedding"), asked[0])
-        return df.join(e.select("id", best.alias("_cos")), "id")
+        asked = self.spark.createDataFrame([(str(i), [float(x) for x in self.embedder(q, row[0]["n"])]) for i, q in enumerate(queries)], "id string, embedding array<float>")
+        near = vectors.topk(e, asked, fetch, "id", "embedding", 6).groupBy("id").agg(F.max("score").alias("_cos"))
+        return df.join(near, "id")
 
-    def _fused(self, q: search.Question, df: DataFrame, columns: list[str], by_vector, by_words, more: dict[str, DataFrame], key: list[str], explain: bool) -> DataFrame:
-        ready = search.prepared(df, *columns)
+    def _fused(self, queries: list[str], fetch: int, df: DataFrame, columns: list[str], by_vector, by_words, more: dict[str, DataFrame], key: list[str], explain: bool = False, least: float = 0.0) -> DataFrame:
         ranks = {}
-        v = self._cosine(q, ready)
+        v = self._cosine(queries, df, fetch)
         if v is not None:
-            ranks["vector"] = search.scored(v, by_vector, F.col("_cos"), explain).drop("_cos")
-        ranks["lexical"] = search.scored(ready, by_words, explain=explain).filter("score > 0")
+            ranks["vector"] = search.scored(search.prepared(v, *columns), by_vector, F.col("_cos"), explain).drop("_cos")
+        if by_words is not None:
+            ranks["lexical"] = search.scored(search.prepared(df, *columns), by_words, explain=explain).filter(F.col("score") > least)
         return vectors.fuse(ranks | more, key)
 
     def search_metadata(self, query: str, limit: int = 5, explain: bool = False) -> DataFrame:
         """Objects by vector, by words and by lookup, fused."""
         q = search.Question(query, self.rules)
         looked = {f"lookup{i}": search.scored(search.prepared(self.objects, "object_name", "synonym"), search.lookup_parts(q, x, explain), explain=explain).filter("score > 1.5") for i, x in enumerate(q.lookups())}
-        f = self._fused(q, self.objects, ["object_name", "synonym", "document"], search.object_parts(q, "vector"), search.object_parts(q, "lexical"), looked, ["object_type", "object_name"], explain)
+        f = self._fused(q.retrieval(), max(20 * limit, 80), self.objects, ["object_name", "synonym", "document"], search.object_parts(q, "vector"), search.object_parts(q, "lexical"), looked, ["object_type", "object_name"], explain)
         return search.top(f, clamp(limit, 50), "object_type", "object_name")
 
     def search_code(self, query: str, limit: int = 5, explain: bool = False) -> DataFrame:
-        """Methods by vector and by words, fused."""
+        """Methods by vector and by words, fused. Raises ValueError without vectors of code."""
+        if not self.embedding_status()["ready"]:
+            raise ValueError("this search needs vectors, and there are none")
         q = search.Question(query, self.rules)
-        f = self._fused(q, self.code, ["method_name", "module_path", "document"], search.code_parts(q, "vector"), search.code_parts(q, "lexical"), {}, ["file_path", "method_name", "start_line"], explain)
+        f = self._fused(q.code_retrieval(), max(30 * limit, 150), self.code, ["method_name", "module_path", "document"], search.code_parts(q, "vector"), search.code_parts(q, "lexical"), {}, ["file_path", "method_name", "start_line"], explain)
         return search.top(f, clamp(limit, 50), "file_path", "method_name", "start_line")
 
     def explain_search_result(self, query: str, target: str = "auto", limit: int = 3) -> DataFrame:
@@ -162,18 +169,27 @@ class Engine:
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def search_modules(self, query: str, limit: int = 5) -> DataFrame:
-        """N7."""
-        return self.find_module(query, None, clamp(limit, 20))
+        """Modules by the vectors of their summaries; by their names where there are none."""
+        q, n = search.Question(query, self.rules), clamp(limit, 20)
+        v = self._cosine([query], self.modules.filter("id is not null"), max(50, 10 * n))
+        if v is None:
+            return self.find_module(query, None, n)
+        rows = search.scored(search.prepared(v, "module_path", "module_name", "document"), search.module_vector_parts(q), F.col("_cos"))
+        return search.top(rows, n, "module_path")
 
     def search_commands(self, query: str, limit: int = 10) -> DataFrame:
-        """N8."""
-        ready = search.prepared(self.commands, "command_name", "action", "title", "tooltip", "form_name", "document")
-        return search.top(search.scored(ready, search.command_parts(search.Question(query, self.rules))), clamp(limit, 30), "id", least=0.01)
+        """Commands by vector and by words, fused."""
+        q, n = search.Question(query, self.rules), clamp(limit, 30)
+        parts = search.command_parts(q)
+        f = self._fused([query], max(50, 10 * n), self.commands, ["command_name", "action", "title", "tooltip", "form_name", "document"], parts, parts, {}, ["id"])
+        return search.top(f, n, "id", least=0.01)
 
     def search_event_subscriptions(self, query: str, limit: int = 10) -> DataFrame:
-        """N9."""
-        ready = search.prepared(self.subscriptions, "subscription_name", "handler", "event", "synonym", "sources_text", "document")
-        return search.top(search.scored(ready, search.subscription_parts(search.Question(query, self.rules))), clamp(limit, 30), "subscription_name", least=0.01)
+        """Subscriptions by vector and by words, fused."""
+        q, n = search.Question(query, self.rules), clamp(limit, 30)
+        parts = search.subscription_parts(q)
+        f = self._fused([query], max(50, 10 * n), self.subscriptions.withColumnRenamed("sources", "source_types"), ["subscription_name", "handler", "event", "synonym", "sources_text", "document"], parts, parts, {}, ["subscription_name"])
+        return search.top(f, n, "subscription_name", least=0.01)
 
     # --- finding
     def find_metadata_object(self, name: str, object_type: str | None = None, limit: int = 10) -> DataFrame:
@@ -199,9 +215,15 @@ class Engine:
         return search.top(search.scored(search.prepared(self.modules.filter("module_type = 'CommonModules'"), "module_path", "module_name"), search.module_parts(name)), clamp(limit, 50), "module_path", least=1.0)
 
     def find_method(self, name: str, module_path: str | None = None, module_type: str | None = None, limit: int = 10) -> DataFrame:
-        """F19 as one plan: exact names first, then by likeness."""
-        rows = search.prepared(self.code.drop("document"), "method_name", "module_path")
-        return search.top(search.scored(rows, search.method_parts(name, module_path, module_type)), clamp(limit, 50), "module_path", "start_line", least=1.4)
+        """Exact names first, then by likeness, then by vector, in one plan: the vectors count only for what the names
+        leave below the threshold."""
+        rows, n = self.code.drop("document"), clamp(limit, 50)
+        ranks = {"name": search.scored(search.prepared(rows, "method_name", "module_path"), search.method_parts(name, module_path, module_type)).filter("score >= 1.4")}
+        v = self._cosine([name], rows, max(20 * n, 100)) if self.embeddings is not None else None
+        if v is not None:
+            near = search.scored(search.prepared(v, "method_name", "module_path"), search.method_parts(name, module_path, module_type, True), F.col("_cos")).drop("_cos")
+            ranks["vector"] = near.withColumn("score", F.least(F.col("score"), F.lit(1.399999)))  # below every hit by name
+        return search.top(vectors.fuse(ranks, ["id"]).drop("sources"), n, "module_path", "start_line", "id")
 
     def list_module_methods(self, name: str, module_type: str | None = None, limit: int = 50) -> DataFrame:
         """Methods of the best matching module, by line and name."""
@@ -303,10 +325,11 @@ class Engine:
             rows = rows.unionByName(e.filter(cond).select(F.lit("risk").alias("section"), F.col("id").alias("label"), F.lit(name).alias("detail")))
         return rows
 
-    def trace_business_flow(self, query: str, limit: int = 5) -> DataFrame:
-        """The best objects and methods for a question and their neighbours: start_id, section, other_id."""
+    def trace_business_flow(self, query: str, limit: int = 5, neighbours: int = 10) -> DataFrame:
+        """The best objects and methods for a question and their neighbours, the first `neighbours` of each section:
+        start_id, section, other_id."""
         ids = self.build_implementation_context(query, limit).select(F.col("id"))
-        flow = impact.context(self.edges, 10).join(ids, "id", "left_semi").select(F.col("id").alias("start_id"), "section", "other_id")
+        flow = impact.context(self.edges, neighbours).join(ids, "id", "left_semi").select(F.col("id").alias("start_id"), "section", "other_id")
         calls = self.edges.filter("edge_type = 'calls'").join(ids.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("from_id").alias("start_id"), F.lit("callees").alias("section"), F.col("to_id").alias("other_id"))
         return flow.unionByName(calls).distinct()
 
@@ -327,7 +350,10 @@ class Engine:
         return modules.validate_modules(self.files.filter(exports.slashes(F.col("rel_path")).endswith(path.replace("\\", "/"))))
 
     def changed(self) -> DataFrame:
-        return exports.changed_files(self.files, self._own("index_state"))
+        """The newest versions that the last successful run of the configuration's own cache did not note."""
+        own = lambda n: self.tables[n].filter(F.col("config_id") == self.config_id)
+        todo = pending_files(own("export_files"), own("index_state"), self.tables["configs"], self.tables["index_runs"])
+        return self.files.join(todo.select("file_id"), "file_id", "left_semi")
 
     def validate_changed_files(self, per_file: int = 20) -> DataFrame:
         """V5: issues of changed modules, the first of each file."""
@@ -338,15 +364,17 @@ class Engine:
 
     def _fresh(self, changed: DataFrame) -> DataFrame:
         built = self._own("index_runs").filter("run_status = 'success'").select("config_id", F.col("finished_at").alias("built_at"))
-        return impact.freshness(changed.select("config_id", "rel_path", "mtime"), self._own("index_state").select("config_id", exports.slashes(F.col("rel_path")).alias("rel_path"), "mtime"), built)
+        noted = state_rows(self._own("index_state"), self.tables["configs"], self.tables["index_runs"]).filter("run_status = 'success'")
+        noted = noted.select("config_id", "rel_path", F.col("noted_mtime").alias("mtime"), "written_at")
+        return impact.freshness(changed.select("config_id", exports.slashes(F.col("rel_path")).alias("rel_path"), "mtime"), noted, built)
 
-    def post_change_report(self) -> DataFrame:
-        """V8."""
+    def post_change_report(self, server: bool | None = None) -> DataFrame:
+        """V8. server: whether a language server that was asked came to its end; None if none was asked."""
         c = self.changed()
         issues = modules.validate_modules(c).join(c.select("file_id", "file_path"), "file_id").select("file_path", "severity")
-        v = impact.batch_validation(c, self.tables["diagnostics"].distinct(), issues)
+        v = impact.batch_validation(c, self.tables["diagnostics"].distinct(), issues, server)
         ids = self.nodes_of("method").join(c.select("file_path").distinct(), "file_path", "left_semi").select("config_id", "id")
-        return impact.post_change_status(v, impact.impact_counts(self.edges, ids), self._fresh(c), c)
+        return impact.post_change_status(v, impact.impact_counts(self.edges, ids), self._fresh(c), c, self.nodes, server)
 
     def bsl_ls_status(self, settings: dict | None = None) -> dict:
         """V9: whether a language server is there; it is not needed for anything else."""

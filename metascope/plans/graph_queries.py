@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metascope.operators import graph, impact
-from metascope.operators.ledger import newest_versions
+from metascope.operators.ledger import newest_versions, pending_files, state_rows
 from metascope.plans.export_queries import _files
 from metascope.sources import descriptors, exports, modules
+from metascope.plans.sql_ledger import LEDGER
 from metascope.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,8 +107,8 @@ def impact_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impact_report(spark: SparkSession, d: str) -> DataFrame:
-    """The methods of changed files, with what depends on them: most callers first."""
-    changed = exports.changed_files(newest_versions(table(spark, d, "export_files")), table(spark, d, "index_state")).select("config_id", "file_path").distinct()
+    """The methods of the files that a run would take, with what depends on them: a report of the 50 with most callers."""
+    changed = pending_files(*[table(spark, d, x) for x in ("export_files", "index_state", "configs", "index_runs")]).select("config_id", "file_path").distinct()
     m = _nodes(spark, d).filter("kind = 'method' and file_path is not null").select("config_id", "id", "file_path").distinct().join(changed, ["config_id", "file_path"], "left_semi").select("config_id", "id").distinct()
     n = impact.impact_counts(_edges(spark, d), m)
     return m.join(n, ["config_id", "id"], "left").na.fill(0).orderBy(F.desc("callers"), F.desc("callees"), "config_id", "id").limit(50)
@@ -165,7 +166,7 @@ def upsert_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 def freshness(spark: SparkSession, d: str) -> DataFrame:
     new = newest_versions(table(spark, d, "export_files")).select("config_id", "rel_path", "mtime")
-    st = table(spark, d, "index_state").select("config_id", exports.slashes(F.col("rel_path")).alias("rel_path"), "mtime")
+    st = state_rows(table(spark, d, "index_state"), table(spark, d, "configs"), table(spark, d, "index_runs")).filter("run_status = 'success'").select("config_id", "rel_path", F.col("noted_mtime").alias("mtime"), "written_at")
     built = table(spark, d, "index_runs").filter("run_status = 'success'").select("config_id", F.col("finished_at").alias("built_at"))
     return impact.freshness(new, st, built)
 
@@ -211,11 +212,11 @@ UNION ALL SELECT config_id, to_id, 'entrypoints', from_id FROM e WHERE edge_type
 i AS (SELECT config_id, id, count(DISTINCT other) FILTER (part = 'callers') AS callers, count(DISTINCT other) FILTER (part = 'callees') AS callees, count(DISTINCT other) FILTER (part = 'entrypoints') AS entrypoints FROM p WHERE id IS NOT NULL AND other IS NOT NULL GROUP BY ALL)"""
 _NEW = r"w AS (SELECT config_id, replace(rel_path, '\', '/') AS rel_path, max(struct_pack(a := scanned_at, b := file_id, m := mtime, f := file_path)) AS v FROM export_files GROUP BY ALL)"
 _STATE = r"s AS (SELECT DISTINCT config_id, replace(rel_path, '\', '/') AS rel_path, mtime FROM index_state)"
-_FRESH = f"""fr AS (SELECT w.config_id, w.rel_path, v.m IS DISTINCT FROM sm AS stale, coalesce(v.m > b, true) AS newer_than_graph FROM w LEFT JOIN (SELECT config_id, rel_path, max(mtime) AS sm FROM s GROUP BY ALL) USING (config_id, rel_path)
-LEFT JOIN (SELECT config_id, max(finished_at) AS b FROM index_runs WHERE run_status = 'success' GROUP BY ALL) USING (config_id))"""
+_FRESH = f"""{LEDGER}, fr AS (SELECT n.config_id, n.rel_path, v.m IS DISTINCT FROM w.m AS stale, coalesce(v.m > b, false) AS newer_than_graph FROM newest n LEFT JOIN ok ON n.config_id = ok.config_id AND n.rel_path = ok.rel_path
+LEFT JOIN (SELECT config_id, max(finished_at) AS b FROM index_runs WHERE run_status = 'success' GROUP BY ALL) g ON g.config_id = n.config_id)"""
 _VALID = r"""d AS (SELECT lower(replace(file_path, '\', '/')) AS p, CASE WHEN contains(v, 'error') THEN 'error' WHEN contains(v, 'warn') THEN 'warning' ELSE 'other' END AS sv FROM (SELECT DISTINCT *, lower(trim(coalesce(severity, ''))) AS v FROM diagnostics)),
 c AS (SELECT p, count(*) FILTER (sv = 'error') AS errors, count(*) FILTER (sv = 'warning') AS warnings, count(*) AS n FROM d GROUP BY ALL),
-va AS (SELECT config_id, file_path, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(n - errors - warnings, 0) AS other, CASE WHEN n IS NULL THEN 'not_checked' WHEN errors > 0 THEN 'failed' WHEN warnings > 0 THEN 'warnings' ELSE 'passed' END AS status
+va AS (SELECT config_id, file_path, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(n - errors - warnings, 0) AS other, CASE WHEN errors > 0 THEN 'failed' WHEN warnings > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS status
 FROM (SELECT DISTINCT config_id, file_path FROM export_files) f LEFT JOIN c ON c.p = lower(replace(f.file_path, '\', '/')))"""
 _OKEY = """CASE kind WHEN 'metadata' THEN CASE WHEN coalesce(file_path, '') <> '' THEN concat(coalesce(object_type, ''), chr(31), coalesce(object_name, '')) END WHEN 'form' THEN concat(chr(31), coalesce(owner_name, ''), chr(31), coalesce(form_name, ''))
 WHEN 'module' THEN nullif(module_path, '') WHEN 'method' THEN concat(coalesce(module_path, ''), chr(31), coalesce(method_name, '')) WHEN 'command' THEN nullif(id, '') END"""
@@ -244,7 +245,7 @@ SELECT config_id, parent_id, id, start_line, method_name, (row_number() OVER (PA
     "two_hop_entrypoints": f"""WITH {_E}, r AS (SELECT config_id, to_id AS h, arg_min(from_id, seq) AS source_id FROM e WHERE edge_type IN ('handles_event', 'handled_by') GROUP BY ALL)
 SELECT l.config_id, l.to_id AS method_id, l.from_id AS handler_id, r.source_id FROM (SELECT DISTINCT config_id, to_id, from_id FROM e WHERE edge_type = 'implements_handler') l LEFT JOIN r ON r.config_id = l.config_id AND r.h = l.from_id""",
     "impact_counts": f"WITH {_E}, {_IMPACT} SELECT * FROM i",
-    "impact_report": f"""WITH {_E}, {_IMPACT}, {_NEW}, {_STATE}, k AS (SELECT DISTINCT w.config_id, v.f AS file_path FROM w LEFT JOIN (SELECT config_id, rel_path, count(*) AS n, max(mtime) AS m FROM s GROUP BY ALL) t USING (config_id, rel_path) WHERE n IS NULL OR v.m IS DISTINCT FROM m),
+    "impact_report": f"""WITH {_E}, {_IMPACT}, {LEDGER}, k AS (SELECT DISTINCT config_id, file_path FROM work WHERE state = 'pending'),
 t AS (SELECT DISTINCT n.config_id, n.id FROM nodes n JOIN k USING (config_id, file_path) WHERE n.kind = 'method')
 SELECT config_id, id, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees, coalesce(entrypoints, 0) AS entrypoints FROM t LEFT JOIN i USING (config_id, id) ORDER BY callers DESC, callees DESC, config_id, id LIMIT 50""",
     "unique_resolution": rf"""WITH {_E}, m AS (SELECT DISTINCT config_id, module_path, method_name, id FROM nodes WHERE kind = 'method' AND module_path IS NOT NULL AND method_name IS NOT NULL),
@@ -258,20 +259,20 @@ SELECT e.config_id, e.id, coalesce(p.up, e.f) AS parent_id FROM e LEFT JOIN p ON
     "recursive_tree": """WITH RECURSIVE s AS (SELECT DISTINCT config_id, from_id, to_id FROM edges WHERE edge_type = 'contains_child_element' AND from_id IS NOT NULL AND to_id IS NOT NULL),
 t AS (SELECT DISTINCT config_id, to_id AS root_id, to_id AS id, 0 AS depth FROM edges WHERE edge_type = 'contains_element' AND to_id IS NOT NULL UNION SELECT t.config_id, t.root_id, s.to_id, t.depth + 1 FROM t JOIN s ON s.config_id = t.config_id AND s.from_id = t.id WHERE t.depth < 60)
 SELECT config_id, root_id, id, min(depth)::INT AS depth FROM t GROUP BY ALL""",
-    "form_hints": f"""WITH {_E}, n AS (SELECT config_id, id, max(kind) AS kind, max(element_name) AS element_name, max(element_type) AS element_type, max(handler_name) AS handler_name FROM nodes WHERE id IS NOT NULL GROUP BY ALL),
+    "form_hints": f"""WITH {_E}, n AS (SELECT config_id, id, max(kind) AS kind, max(element_name) AS element_name, max(element_type) AS element_type, max(handler_name) AS handler_name, max(command_name) AS command_name FROM nodes WHERE id IS NOT NULL GROUP BY ALL),
 p AS (SELECT *, {_FORM} AS form_id FROM n WHERE kind IN ('form_element', 'command', 'handler') AND {_FORM} <> ''),
 f AS (SELECT n.config_id, n.id AS form_id, count(*) FILTER (p.kind = 'form_element') AS e, count(*) FILTER (p.kind = 'command') AS c, count(*) FILTER (p.kind = 'handler') AS h FROM n LEFT JOIN p ON p.config_id = n.config_id AND p.form_id = n.id WHERE n.kind = 'form' GROUP BY ALL)
 SELECT config_id, form_id, 'no_commands' AS hint, NULL::VARCHAR AS name, 0::BIGINT AS n FROM f WHERE c = 0 UNION ALL SELECT config_id, form_id, 'no_elements', NULL, 0 FROM f WHERE e = 0 UNION ALL SELECT config_id, form_id, 'large_form', NULL, e FROM f WHERE e >= 10
 UNION ALL SELECT config_id, form_id, 'many_commands', NULL, c FROM f WHERE c >= 3 UNION ALL SELECT config_id, form_id, 'many_events', NULL, h FROM f WHERE h >= 5
 UNION ALL SELECT config_id, form_id, 'duplicate_name', element_name, count(*) FROM p WHERE kind = 'form_element' AND element_name <> '' GROUP BY config_id, form_id, element_name HAVING count(*) > 1
 UNION ALL SELECT config_id, form_id, 'unresolved_handler', handler_name, 1 FROM p WHERE kind = 'handler' AND NOT EXISTS (SELECT 1 FROM e WHERE edge_type = 'implements_handler' AND e.config_id = p.config_id AND e.from_id = p.id)
-UNION ALL SELECT config_id, form_id, 'passive_command', element_name, 1 FROM p WHERE kind = 'form_element' AND regexp_matches(lower(element_type), 'button|command') AND NOT EXISTS (SELECT 1 FROM e WHERE edge_type IN ('invokes_command', 'handles_event', 'contains_child_element') AND e.config_id = p.config_id AND e.from_id = p.id)""",
+UNION ALL SELECT config_id, form_id, 'passive_command', element_name, 1 FROM p WHERE kind = 'form_element' AND regexp_matches(lower(element_type), 'button|command') AND coalesce(command_name, '') = '' AND NOT EXISTS (SELECT 1 FROM e WHERE edge_type IN ('invokes_command', 'handles_event', 'contains_child_element') AND e.config_id = p.config_id AND e.from_id = p.id)""",
     "overlay_semi_anti": f"""WITH {_OVERLAY} SELECT config_id, b AS base_config_id, kind, count(*) AS extension_total, count(*) FILTER (in_base) AS overlaid, count(*) FILTER (NOT in_base) AS added, 0::BIGINT AS resolved_annotations, 0::BIGINT AS unresolved_annotations FROM x GROUP BY ALL""",
     "overlay_reasons": f"""WITH {_OVERLAY}, t AS (SELECT config_id AS b, method_name, count(DISTINCT id) AS n FROM m WHERE kind = 'method' AND method_name <> '' GROUP BY ALL)
 SELECT config_id, in_base, CASE WHEN in_base THEN NULL WHEN coalesce(n, 0) = 0 THEN 'target_absent_in_base_graph' WHEN n = 1 THEN 'target_found_in_other_module' ELSE 'target_name_ambiguous_outside_expected_module' END AS reason, count(*) AS methods FROM x LEFT JOIN t USING (b, method_name) WHERE kind = 'method' GROUP BY ALL""",
     "upsert_by_key": f"WITH {_NEW}, {_STATE} SELECT config_id, rel_path, mtime FROM s WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.config_id = s.config_id AND w.rel_path = s.rel_path) UNION ALL SELECT config_id, rel_path, v.m FROM w",
-    "freshness": f"WITH {_NEW}, {_STATE}, {_FRESH} SELECT * FROM fr",
+    "freshness": f"WITH {_FRESH} SELECT * FROM fr",
     "batch_validation": f"WITH {_VALID} SELECT * FROM va",
-    "post_change": f"""WITH {_E}, {_IMPACT}, {_NEW}, {_STATE}, {_FRESH}, {_VALID}, o AS (SELECT (SELECT count(*) FROM w) AS files, (SELECT sum(errors)::BIGINT FROM va) AS errors, (SELECT sum(warnings)::BIGINT FROM va) AS warnings, (SELECT count(*) FROM fr WHERE stale) AS stale, (SELECT count(*) FROM fr WHERE newer_than_graph) AS newer, (SELECT sum(callers)::BIGINT FROM i) AS callers)
-SELECT *, CASE WHEN files = 0 THEN 'no_files' WHEN errors > 0 THEN 'errors' WHEN warnings > 0 THEN 'warnings' WHEN newer > 0 THEN 'stale_graph' WHEN stale > 0 THEN 'stale_index' WHEN callers > 0 THEN 'impact' ELSE 'ok' END AS status FROM o""",
+    "post_change": f"""WITH {_E}, {_IMPACT}, {_FRESH}, {_VALID}, o AS (SELECT (SELECT count(*) FROM newest) AS files, (SELECT sum(errors)::BIGINT FROM va) AS errors, (SELECT sum(warnings)::BIGINT FROM va) AS warnings, (SELECT count(*) FROM fr WHERE stale) AS stale, (SELECT count(*) FROM fr WHERE newer_than_graph) AS newer, (SELECT sum(callers)::BIGINT FROM i) AS callers)
+SELECT *, CASE WHEN files = 0 THEN 'no_files' WHEN errors > 0 THEN 'failed_validation' WHEN newer > 0 OR stale > 0 THEN 'needs_reindex' WHEN warnings > 0 THEN 'passed_with_warnings' ELSE 'ready_for_review' END AS status FROM o""",
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metascope.functions import text as t
-from metascope.functions.constants import CODE_STOPWORDS, REGISTER_PREFIXES, REPORT_PHRASES, STRUCTURE_PHRASES, VALIDATION_PREFIXES
+from metascope.functions.constants import CODE_STOPWORDS, REGISTER_PREFIXES, REPORT_PHRASES, STRUCTURE_PHRASES, VALIDATION_MODULES, VALIDATION_PREFIXES, VALIDATION_SIGNALS
+from metascope.operators import search
 from metascope.plans import sql_text as s
 from metascope.runtime import table
 
@@ -86,23 +87,62 @@ def severity_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "diagnostics").distinct().groupBy(t.severity_col(F.col("severity")).alias("severity")).agg(F.count(F.lit(1)).alias("findings"))
 
 
+#: A question about checks, which asks for stock and for what is below zero.
+CHECK_QUESTION = "проверить контроль остатков при отрицательном количестве"
+
+
 def rule_score(spark: SparkSession, d: str) -> DataFrame:
-    """F8: additive rules over method names: each pair is a phrase and what it is worth."""
-    n = t.normalize_col(F.col("method_name"))
-    score = sum((F.when(F.contains(n, F.lit(p)), w).otherwise(0.0) for p, w in RULES), F.lit(0.0))
-    return table(spark, d, "chunks").filter("chunk_type = 'code' and method_name is not null").select("id", F.round(score, 6).alias("score")).distinct()
+    """F8: what the signals of a question about checks are worth for each method."""
+    c = table(spark, d, "chunks").filter("chunk_type = 'code'").select("id", "module_type", "module_path", "method_name", "document").distinct()
+    rows = search.scored(search.prepared(c, "method_name", "module_path", "document"), search.signal_parts(search.Question(CHECK_QUESTION)))
+    return rows.select("id", "method_name", "module_path", "score").distinct()
+
+
+def anchor_score(spark: SparkSession, d: str) -> DataFrame:
+    """what the anchors of a question are worth for each object."""
+    c = table(spark, d, "chunks").filter("chunk_type = 'metadata'").select("config_id", "object_type", "object_name", "synonym").distinct()
+    return search.scored(search.prepared(c, "object_name", "synonym"), search.anchor_parts(search.Question(ANCHOR_QUESTION)))
+
+
+#: A question with several anchors.
+ANCHOR_QUESTION = "цены товаров по договорам с контрагентом"
+
 
+def code_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Q2, Q5: the queries that are asked for one question about code."""
+    q = search.Question("почему нельзя провести документ проверка остатков товара")
+    return spark.createDataFrame([(i, x) for i, x in enumerate(q.code_retrieval(), 1)], "place int, query string")
 
-#: A rule set as a caller would give it.
-RULES = (("проверить", 2.6), ("найти", 1.2), ("остатки", 0.8), ("на сервере", 0.5), ("асинхронно", -1.5))
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (doc_tokens, normalized_text, doc_keywords, keyword_overlap, lexical_rank, name_specificity, identifier_match, classify_first_match, intent_flags, query_expansion, alias_overlap, severity_counts, rule_score)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (doc_tokens, normalized_text, doc_keywords, keyword_overlap, lexical_rank, name_specificity, identifier_match, classify_first_match, intent_flags, query_expansion, alias_overlap, severity_counts, rule_score, anchor_score, code_expansion)}
 
 _KW, _NAME_KW = t.keywords(QUESTION), t.keywords(NAME, ())
 _STEMS = f"SELECT doc_id, {s.stems('text')} AS st FROM documents"
 _OVERLAP = f"SELECT doc_id, round({s.overlap('st', _KW, ' '.join(_KW))}, 6) AS score FROM ({_STEMS})"
 _OBJECTS = "SELECT DISTINCT config_id, object_type, object_name FROM nodes WHERE kind = 'metadata' AND object_name IS NOT NULL"
 _SEVERITY = "CASE WHEN contains(v, 'error') THEN 'error' WHEN contains(v, 'warn') THEN 'warning' WHEN contains(v, 'info') THEN 'information' WHEN contains(v, 'hint') THEN 'hint' WHEN v <> '' THEN v ELSE 'unknown' END"
+_ANCHORS = search.Question(ANCHOR_QUESTION).anchors
+
+
+def _alias_sql(words: list[str]) -> str:
+    rows = f"SELECT config_id, object_type, object_name, {s.stems('object_name')} AS f0, 0 AS h0 FROM ({_OBJECTS})"
+    for i, w in enumerate(words):
+        akin = f"x = {s.q(w)} OR ({len(w)} >= 5 AND length(x) >= 5 AND (starts_with(x, {s.q(w)}) OR starts_with({s.q(w)}, x)))"
+        rows = f"SELECT *, coalesce(list_position(list_transform(f{i}, lambda x: {akin}), true), 0) AS p{i} FROM ({rows})"
+        rows = f"SELECT config_id, object_type, object_name, CASE WHEN p{i} > 0 THEN list_concat(f{i}[1:p{i} - 1], f{i}[p{i} + 1:]) ELSE f{i} END AS f{i + 1}, h{i} + (p{i} > 0)::INT AS h{i + 1} FROM ({rows})"
+    return f"SELECT config_id, object_type, object_name, h{len(words)} AS hits FROM ({rows})"
+
+
+def _signals_sql() -> str:
+    q, out = t.normalize(CHECK_QUESTION), []
+    has = lambda col, phrases: "(" + " OR ".join(f"contains({col}, {s.q(p)})" for p in phrases) + ")"
+    for _, where, phrases, weight, asked, otherwise in VALIDATION_SIGNALS:
+        if asked in q:
+            out.append(f"CASE WHEN {has({'method': 'a', 'document': 'c', 'any': 'every'}[where], phrases)} THEN {weight}::DOUBLE ELSE {otherwise} END")
+    kinds = "".join(f" WHEN {'module_type IN (' + ', '.join(map(s.q, types)) + ')' if types else f'starts_with(b, {s.q(begins)})'} THEN {weight}::DOUBLE" for types, begins, weight in VALIDATION_MODULES)
+    return " + ".join([*out, f"CASE{kinds} ELSE 0 END"])
+
+
 SQL: dict[str, str] = {
     "doc_tokens": f"SELECT doc_id, len(n) AS tokens, len(list_distinct(n)) AS distinct_tokens FROM (SELECT doc_id, {s.tokens('text')} AS n FROM documents)",
     "normalized_text": f"SELECT doc_id, md5({s.normalized('text')}) AS normalized_md5 FROM documents",
@@ -118,5 +158,8 @@ SELECT doc_id, {s.any_in('n', STRUCTURE_PHRASES)} AS structural, {s.any_in('n',
     "query_expansion": f"""SELECT item_id, array_to_string(k, ' ') AS phrase, array_to_string(k, '') AS compact, array_to_string(k[1:8], ' ') AS short_phrase
 FROM (SELECT item_id, {s.keywords_of('st')} AS k FROM (SELECT item_id, {s.stems('text')} AS st FROM eval_items))""",
     "severity_counts": f"SELECT {_SEVERITY} AS severity, count(*) AS findings FROM (SELECT lower(trim(coalesce(severity, ''))) AS v FROM (SELECT DISTINCT * FROM diagnostics)) GROUP BY ALL",
-    "rule_score": "SELECT DISTINCT id, round(" + " + ".join(f"CASE WHEN contains(n, {s.q(p)}) THEN {w}::DOUBLE ELSE 0 END" for p, w in RULES) + f", 6) AS score FROM (SELECT id, {s.normalized('method_name')} AS n FROM chunks WHERE chunk_type = 'code' AND method_name IS NOT NULL)",
+    "rule_score": f"SELECT DISTINCT id, method_name, module_path, round({_signals_sql()}, 6) AS score FROM (SELECT *, concat_ws(' ', a, b, c) AS every FROM (SELECT id, method_name, module_path, module_type, {s.normalized('method_name')} AS a, {s.normalized('module_path')} AS b, {s.normalized('document')} AS c FROM chunks WHERE chunk_type = 'code'))",
+    "anchor_score": f"""SELECT config_id, object_type, object_name, synonym, round(CASE WHEN t = '' THEN 0 ELSE n * 0.7::DOUBLE + CASE WHEN n >= 2 THEN 1.2 ELSE 0 END - CASE WHEN n = 0 THEN least(1.4, {len(_ANCHORS)} * 0.35) ELSE 0 END + CASE WHEN contains(t, 'договор') THEN 2.2 WHEN contains(t, 'контрагент') THEN -1.2 ELSE 0 END END, 6) AS score
+FROM (SELECT *, {' + '.join(f'contains(t, {s.q(a)})::INT' for a in _ANCHORS)} AS n FROM (SELECT *, array_to_string(list_concat({s.stems('object_name')}, {s.stems('synonym')}), ' ') AS t FROM (SELECT DISTINCT config_id, object_type, object_name, synonym FROM chunks WHERE chunk_type = 'metadata')))""",
+    "alias_overlap": _alias_sql(t.keywords("журналы рецептура плановых складов")),
 }

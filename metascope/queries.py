@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from metascope.operators import ledger, nested, orphans
 from metascope.plans import export_queries, graph_queries, search_queries, sql_nested, text_queries, tool_queries
+from metascope.plans.sql_ledger import LEDGER as _LEDGER
 from metascope.runtime import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,15 +81,6 @@ n AS (SELECT DISTINCT config_id, nullif(lower(trim(id, {_BLANK})), '') AS k, rec
 direct AS (SELECT e.* FROM e LEFT JOIN (SELECT DISTINCT config_id, base_config_id FROM configs) c USING (config_id)
   WHERE to_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n WHERE n.k = e.to_key AND n.config_id IN (e.config_id, c.base_config_id) AND n.recorded_at <= e.observed_at AND e.observed_at < n.until))
 """
-_LEDGER = r"""
-newest AS (SELECT config_id, replace(rel_path, '\', '/') AS rel_path, max(struct_pack(a := scanned_at, b := file_id, m := mtime, f := file_path)) AS v FROM export_files GROUP BY ALL),
-ok AS (SELECT s.config_id, replace(s.rel_path, '\', '/') AS rel_path, max(struct_pack(a := s.written_at, b := s.state_id, m := s.mtime)) AS w
-  FROM index_state s JOIN (SELECT DISTINCT config_id, cache_file FROM configs) c ON s.config_id = c.config_id AND s.cache_file = c.cache_file
-  JOIN index_runs r ON r.run_id = s.run_id AND r.run_status = 'success' WHERE s.schema_version = 4 GROUP BY ALL),
-work AS (SELECT n.config_id, n.rel_path, v.f AS file_path, v.b AS file_id, v.m AS mtime, CASE WHEN w IS NOT NULL AND v.m IS NOT DISTINCT FROM w.m THEN 'done' ELSE 'pending' END AS state
-  FROM newest n LEFT JOIN ok ON n.config_id = ok.config_id AND n.rel_path = ok.rel_path)
-"""
-
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_tables, p5_found, p5_run, p5_files, p5_ledger)}
 QUERIES |= {f"p4_{name}": _p4_table(name) for name in nested.TABLES}
 SQL: dict[str, str] = {
