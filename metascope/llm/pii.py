@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -91,7 +92,8 @@ _STREET = r"(?:улиц[аыеу]|ул\.?|переул(?:ок|ка|ке)|пер\
 _NAME_RU = r"(?:(?:\d{1,2}-[а-яё]{1,2}[ \xa0])?[А-ЯЁ](?:[а-яё]++|[А-ЯЁ]++)(?:-[А-ЯЁа-яё]+)?(?:[ \xa0][А-ЯЁ](?:[а-яё]++|[А-ЯЁ]++)){0,2})"
 _HOUSE = r"(?:[ \xa0]?,?[ \xa0]{0,2}(?i:д(?:ом|\.)?[ \xa0]?)?(?:№[ \xa0]?)?\d{1,4}(?!\d)(?:[А-Яа-яA-Za-z](?!\w))?(?:[ \xa0]?/[ \xa0]?\d+|(?i:к|корп|стр)\.?[ \xa0]?\d+|,?[ \xa0](?i:корп|стр|к|строение|корпус)\.?[ \xa0]?\d+)*)"
 _FLAT = r"(?:,?[ \xa0](?i:кв\.?|квартира|оф\.?|офис)[ \xa0]?\d+)?"
-_ADDRESS_RU = re.compile(rf"(?<![\w])(?:(?:(?i:кв|д|дом|квартира)\.?[ \xa0]?\d+[А-Яа-я]?,[ \xa0]?){{0,2}})(?:(?i:{_STREET})[ \xa0]?{_NAME_RU}|{_NAME_RU}[ \xa0](?i:{_STREET}))(?:{_HOUSE}){_FLAT}(?![\w])")
+_NAME_AFTER = _NAME_RU.replace("{0,2})", "{0,6})")  # after the street word there is no telling how many words a name has
+_ADDRESS_RU = re.compile(rf"(?<![\w])(?:(?:(?i:кв|д|дом|квартира)\.?[ \xa0]?\d+[А-Яа-я]?,[ \xa0]?){{0,2}})(?:(?i:{_STREET})[ \xa0]?{_NAME_AFTER}|{_NAME_RU}[ \xa0](?i:{_STREET}))(?:{_HOUSE}){_FLAT}(?![\w])")
 _ROAD = r"(?i:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Close|Court|Ct|Way|Place|Square|Terrace|Crescent|Boulevard|Blvd|Hill|Gardens|Row|Mews|Grove)"
 _ADDRESS_EN = re.compile(rf"(?<![\w])(?:(?i:Flat|Apt|Apartment|Unit|Suite)\.?[ \xa0]\w{{1,5}},[ \xa0])?\d{{1,5}}[A-Za-z]?,?[ \xa0](?:[A-Z](?:[a-z]+|[A-Z]+)[ \xa0]){{1,3}}{_ROAD}(?!\w)(?:(?<=St|Rd|Ln|Dr|Ct)\.|(?<=Ave)\.|(?<=Blvd)\.)?(?:,[ \xa0](?i:Flat|Apt|Apartment|Unit|Suite)\.?[ \xa0]\w{{1,5}})?")
 _ADDRESS_AT = re.compile(r"(?<![\w])(?:[Уу][Лл](?:\.|[Ии][Цц]| )|[Пп][Ее][Рр](?:\.|[Ее][Уу][Лл])|[Пп][Рр](?:[Оо][Сс][Пп]|-т|\.|[Оо][Ее][Зз][Дд])|[Бб](?:[Уу][Лл]|-р)|[Шш](?:[Оо][Сс][Сс]|\.)|[Нн][Аа][Бб]|[Пп][Лл](?:[Оо][Щщ]|\.)|[Тт][Уу][Пп][Ии][Кк]|[Аа][Лл][Лл][Ее][Яя]|(?:S(?:t|T|q)|R[doO]|L[anAN]|A[vV]e?|D[rR]|C[loLOtTr]|W[aA]y|P[lL]a|T[eE]r|B[loLO]|H[iI]l|G[arRA]|Row|ROW|M[eE]w)[a-zA-Z]*(?=[\s.,;|)]|$))")
@@ -112,12 +114,33 @@ _CODE = re.compile(r"[\"']\s*\+\s*$|\+\s*[\"']$")
 
 @dataclass(frozen=True)
 class Span:
-    """A candidate: its type, place (code points), the votes of the type's labelers (one of + - 0 each) and its form."""
+    """A candidate: its type, place (code points), the votes of the type's labelers (one of + - 0 each), and what the
+    classifier sees besides them: features of the span and its surroundings, as numbers below FEATURES."""
 
     kind: str
     start: int
     end: int
     votes: str
+    seen: tuple[int, ...] = ()
+
+
+#: Features of spans are hashed into so many places.
+FEATURES = 96
+_RUNS = re.compile(r"\d+|[^\W\d_]+|\s+|.", re.S)
+_LAST_WORD, _NEXT = re.compile(r"(\w+)\W*$"), re.compile(r"\s*(\w+|\S)?")
+
+
+def _shape(s: str) -> str:
+    """Xx for a word with a capital, X for capitals, x else, and the number of digits; other characters stay."""
+    return "".join(f"9{len(r)}" if r.isdigit() else ("X" if r.isupper() else "Xx" if r[0].isupper() else "x") if r.isalpha() else " " if r.isspace() else r for r in _RUNS.findall(s[:80]))
+
+
+def features(text: str, span: Span) -> tuple[int, ...]:
+    """The span's shape and length, the word before it and what follows it."""
+    before = _LAST_WORD.search(text[max(0, span.start - 30) : span.start])
+    after = _NEXT.match(text, span.end, span.end + 20)[1] or ""
+    facts = (f"shape {_shape(text[span.start : span.end])}", f"length {(span.end - span.start) // 8}", f"before {before[1].lower() if before else ''}", f"edge {text[span.start - 1 : span.start]}", f"after {after.lower()[:12]}")
+    return tuple(sorted({zlib.crc32(f"{span.kind} {f}".encode()) % FEATURES for f in facts}))
 
 
 def _vote(*marks: int) -> str:
@@ -147,6 +170,9 @@ def _role(token: str) -> str:
 
 #: The ways in which a name is written, over the roles of its parts; a comma only between a surname and what follows.
 _FORMS = re.compile(r"(?:[SW],?G[PI]?|[SW],?I{1,2}|G[PI]?[SW]|I{1,2}[SW]|GG|GPG)")
+#: Without a known given name or an initial: two words, or three with a patronymic, only where a label or title says that a person follows.
+_UNKNOWN = re.compile(r"[SW]{2}|[SW]{2}P|[SW]P[SW]")
+_LABEL = re.compile(r"(?:(?:^|[\s(«\"])(?:автор|ответственн(?:ый|ая)|исполнитель|сотрудник|сотрудница|клиент|фио|заявитель(?:ница)?|подписал(?:а)?|проверил(?:а)?|contact|author|reviewer|reported by|assigned to|applicant|signed|owner|name|customer|employee)\s*[:—–-]\s*|(?:^|[\s(«\"])(?:contact|reported by|assigned to|signed by|mr|mrs|ms|dr|г-н|г-жа|господин|госпожа)\.?\s)$")
 
 
 def _people(text: str) -> Iterator[Span]:
@@ -154,14 +180,16 @@ def _people(text: str) -> Iterator[Span]:
         for run in runs.finditer(text):
             tokens = list(_TOKEN.finditer(text, run.start(), run.end()))
             roles = [_role(t[0]) for t in tokens]
-            if not ({"G", "I"} & set(roles)):
+            known = bool({"G", "I"} & set(roles))
+            first = next((i for i, r in enumerate(roles) if r != "C"), len(roles))  # a label may stand in the run itself
+            if not known and not _UNKNOWN.fullmatch("".join(roles[first:])):
                 continue
             for a in range(len(tokens)):
                 for b in range(a + 2, min(len(tokens), a + 4) + 1):
                     shape = roles[a]
                     for i in range(a + 1, b):
                         shape += ("," if "," in text[tokens[i - 1].end() : tokens[i].start()] else "") + roles[i]
-                    if not _FORMS.fullmatch(shape):
+                    if not _FORMS.fullmatch(shape) and (known or a != first or b < len(tokens) or not _UNKNOWN.fullmatch(shape) or not _LABEL.search(_left(text, tokens[a].start()))):
                         continue
                     if (b < len(tokens) and roles[b] in "IP" and _FORMS.fullmatch(shape + roles[b])) or (a and roles[a] == "I" and roles[a - 1] in "GI"):
                         continue  # part of a longer one
@@ -174,7 +202,7 @@ def _people(text: str) -> Iterator[Span]:
                         1 if "G" in shape else 0,
                         1 if "P" in shape else 0,
                         1 if "I" in shape else 0,
-                        1 if "S" in shape else -1 if "W" in shape else 0,
+                        1 if "S" in shape else -1 if "W" in shape and known else 0,
                         1 if _CONTEXT["person"].search(left) else 0,
                         -1 if re.match(r"[ \xa0,]*(?:улица|переулок|пер\.|ул\.|street|road|lane|rd)", after) or re.search(r"(?:ул\.|улица|пер\.|проспект)[ \xa0]?$", left) else 0,
                         1 if re.match(r"\s*[<(|,;.]|\s*\S+@|\s+и\s|\s+and\s", after) else 0,
@@ -216,19 +244,20 @@ def _phones(text: str) -> Iterator[Span]:
     for m in _PHONE.finditer(text):
         s = m[0]
         digits = re.sub(r"\D", "", s)
-        if not 10 <= len(digits) <= 13:
-            continue
         left = _left(text, m.start())
         plus, bracket, eight = s[0] == "+", "(" in s, digits[0] in "78" and len(digits) == 11
+        told = bool(_CONTEXT["phone"].search(left))
+        if not (10 <= len(digits) <= 13 or (plus and 7 <= len(digits) <= 15) or (told and 6 <= len(digits) <= 9)):
+            continue
         yield Span("phone", m.start(), m.end(), _vote(
             1 if plus else 0,
             1 if bracket else 0,
             1 if eight else 0,
-            1 if _CONTEXT["phone"].search(left) else 0,
+            1 if told else 0,
             -1 if _GOODS.search(left) or _ORGANISATION.search(left) else 0,
             -1 if _CONTEXT["id_number"].search(left) else 0,
-            -1 if not (plus or bracket or eight) else 0,
-            -1 if s == digits and not eight else 0,
+            -1 if not (plus or bracket or eight) and len(digits) > 9 else 0,
+            -1 if s == digits and not eight and len(digits) > 9 else 0,
             -1 if re.fullmatch(r"\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}.*|\d{4}-\d\d-\d\d.*", s) else 0,
         ))
 
@@ -252,13 +281,37 @@ def _ids(text: str) -> Iterator[Span]:
         ))
 
 
+_WORD = re.compile(r"\w+\W*")
+
+
+def _back(text: str, at: int, words: int) -> int:
+    """Where the last `words` words before a place begin, whatever their length."""
+    for _ in range(words):
+        while at and not (text[at - 1].isalnum() or text[at - 1] == "_"):
+            at -= 1
+        while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+            at -= 1
+    return at
+
+
+def _ahead(text: str, at: int, words: int) -> int:
+    """Where the next `words` words end."""
+    for _ in range(words):
+        m = _WORD.search(text, at)
+        if not m:
+            return len(text)
+        at = m.end()
+    return at
+
+
 def _addresses(text: str) -> Iterator[Span]:
     seen = set()
     for at in _ADDRESS_AT.finditer(text):
         russian = at[0][0] > "z"
         if not russian and not text[max(0, at.start() - 40) : at.start()].rstrip()[-1:].isalpha():
             continue
-        for m in (_ADDRESS_RU if russian else _ADDRESS_EN).finditer(text, max(0, at.start() - 60), at.end() + 90):
+        # as many words as the patterns can take on either side: flat and house (4), names (4, with ordinals); names (8), house, flat
+        for m in (_ADDRESS_RU if russian else _ADDRESS_EN).finditer(text, _back(text, at.start(), 8), _ahead(text, at.end(), 18)):
             if m.start() in seen or m.end() <= at.start() or m.start() > at.start():
                 continue
             seen.add(m.start())
@@ -286,7 +339,7 @@ def candidates(text: str | None) -> list[Span]:
     if any(s.kind in ("phone", "id_number") for s in out):
         long = [(m.start(), m.end()) for m in _LONG_DIGITS.finditer(text)]
         out = [s for s in out if s.kind not in ("phone", "id_number") or not any(a <= s.start < b for a, b in long)]
-    return out
+    return [replace(s, seen=features(text, s)) for s in out]
 
 
 # --- weak supervision -------------------------------------------------------------------------------------------------
@@ -296,6 +349,7 @@ def expectation_maximisation(patterns: list[tuple[str, int]], rounds: int = 100)
 
     A labeler that votes is right with its reliability; that it abstains says nothing. Each reliability has a prior worth
     a twentieth of the labeler's votes around 0.85 and stays between 0.6 and 0.995, so that true keeps its meaning; the
+    share stays between 0.2 and 0.8, so that a type of which nearly all candidates are true does not win every overlap. The
     first posteriors follow the majority of the votes."""
     votes = np.array([["-0+".index(c) - 1 for c in p] for p, _ in patterns], dtype=float)
     n = np.array([c for _, c in patterns], dtype=float)
@@ -316,19 +370,34 @@ def expectation_maximisation(patterns: list[tuple[str, int]], rounds: int = 100)
     return right, share, post
 
 
-def train_classifier(patterns: list[tuple[str, int]], post: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Weights of a logistic span classifier over the votes (two features each, and a bias), fitted by Newton steps to the
-    posteriors, each pattern with the weight of its count."""
-    x = np.array([[1.0] + [float(c == s) for c in p for s in "+-"] for p, _ in patterns])
-    n = np.array([c for _, c in patterns], dtype=float)
-    n = n / n.sum() * min(n.sum(), 1e6)
+#: How many spans of a type the classifier is trained on at most; all spans are counted for EM and decided by the classifier.
+TRAIN_SPANS = 20_000
+
+
+def _row(votes: str, seen) -> np.ndarray:
+    x = np.zeros(1 + 2 * len(votes) + FEATURES)
+    x[0] = 1.0
+    for i, c in enumerate(votes):
+        if c != "0":
+            x[1 + 2 * i + (c == "-")] = 1.0
+    for f in seen:
+        x[1 + 2 * len(votes) + f] = 1.0
+    return x
+
+
+def train_classifier(spans: list[tuple[str, tuple[int, ...]]], post: dict[str, float], steps: int = 200) -> np.ndarray:
+    """Weights of a logistic span classifier over the votes (two features each), the features of the span and its
+    surroundings, and a bias; fitted by Newton steps to the posteriors of the votes. The surroundings are held closer to zero, so that
+    they decide only where the votes leave it open."""
+    x = np.array([_row(v, f) for v, f in spans])
+    y = np.array([post[v] for v, _ in spans])
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.5)
-    ridge[0] = 1e-3
+    ridge[0], ridge[-FEATURES:] = 1e-3, max(4.0, len(spans) / 100)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (n * (post - p)) - ridge * w)
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (y - p) - ridge * w)
         w += step
-        if np.abs(step).max() < 1e-7:
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
@@ -339,16 +408,29 @@ class Model:
 
     weights: dict[str, np.ndarray]
 
-    def probability(self, kind: str, votes: str) -> float:
-        w = self.weights.get(kind)
+    def probability(self, span: Span) -> float:
+        w = self.weights.get(span.kind)
         if w is None:
             return 0.0
-        z = w[0] + sum(w[1 + 2 * i + (c == "-")] for i, c in enumerate(votes) if c != "0")
+        z, n = w[0], len(span.votes)
+        for i, c in enumerate(span.votes):
+            if c != "0":
+                z += w[1 + 2 * i + (c == "-")]
+        for f in span.seen:
+            z += w[1 + 2 * n + f]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
+    def save(self) -> str:
+        """As JSON text; the same model decides on other documents as on these."""
+        return json.dumps({k: [float(x) for x in w] for k, w in self.weights.items()})
+
+    @classmethod
+    def load(cls, text: str) -> Model:
+        return cls({k: np.array(w) for k, w in json.loads(text).items()})
+
     def choose(self, spans: list[Span], least: float = 0.5) -> list[Span]:
         """The spans that are likely enough, of those that overlap the likeliest, then the longest, then the first."""
-        scored = sorted(((self.probability(s.kind, s.votes), s) for s in spans), key=lambda x: (-round(x[0], 9), -(x[1].end - x[1].start), x[1].start, x[1].kind))
+        scored = sorted(((self.probability(s), s) for s in spans), key=lambda x: (-round(x[0], 9), -(x[1].end - x[1].start), x[1].start, x[1].kind))
         kept: list[Span] = []
         taken: list[tuple[int, int]] = []  # in order, without overlaps
         for p, s in scored:
@@ -359,71 +441,94 @@ class Model:
         return sorted(kept, key=lambda s: s.start)
 
 
-_SPANS = "doc_id string, spans array<struct<kind:string,start:bigint,end:bigint,votes:string>>"
+_SPAN = "struct<kind:string,start:bigint,end:bigint,votes:string,seen:array<int>>"
+
+
+def _stored(spans) -> list[Span]:
+    return [Span(x["kind"], x["start"], x["end"], x["votes"], tuple(x["seen"])) for x in spans]
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """doc_id and the candidates of each text that has some. Whole texts, each where it lies."""
+def scan(documents: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id and the candidates of each text that has some; with texts, every row, with its text. Whole texts, each where
+    it lies."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(i, [{"kind": s.kind, "start": s.start, "end": s.end, "votes": s.votes} for s in c]) for i, t in zip(b["doc_id"], b["text"]) if (c := candidates(t if isinstance(t, str) else None))]
-            yield pd.DataFrame({"doc_id": pd.Series([i for i, _ in found], dtype=object), "spans": pd.Series([s for _, s in found], dtype=object)})
+            found = [[{"kind": s.kind, "start": s.start, "end": s.end, "votes": s.votes, "seen": list(s.seen)} for s in candidates(t if isinstance(t, str) else None)] for t in b["text"]]
+            out = pd.DataFrame({"doc_id": b["doc_id"], "spans": pd.Series(found, index=b.index, dtype=object)})
+            yield out.assign(text=b["text"]) if texts else out[[bool(f) for f in found]]
 
     # ids travel as text: pandas would turn a column with nulls into floats
-    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null").mapInPandas(run, _SPANS)
-
-
-def fit(scanned: DataFrame) -> Model:
-    """EM and the classifier over the vote patterns of all candidates. Only their counts come to the driver: at most 3 to
-    the number of labelers of a type, however large the corpus."""
-    counts = scanned.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return (rows if texts else rows.filter("text is not null")).mapInPandas(run, f"doc_id string, spans array<{_SPAN}>" + (", text string" if texts else ""))
+
+
+def fit(scanned: DataFrame, train_spans: int = TRAIN_SPANS) -> Model:
+    """EM over the vote patterns of all candidates, of which only the counts come to the driver: at most 3 to the number of
+    labelers of a type, however large the corpus. Then the classifier, on at most train_spans spans of each type, chosen
+    by a hash of their place."""
+    spans = scanned.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    counts = spans.groupBy("kind", "votes").count().collect()
+    order = F.xxhash64("doc_id", "start", "end", "votes")
+    rows = None
+    for kind in TYPES:
+        some = spans.filter(F.col("kind") == kind).orderBy(order, "doc_id", "start").limit(train_spans).select("kind", "votes", "seen")
+        rows = some if rows is None else rows.unionByName(some)
+    sample = rows.collect()  # bounded by train_spans
     weights = {}
     for kind in TYPES:
         patterns = sorted((r["votes"], r["count"]) for r in counts if r["kind"] == kind)
         if patterns:
             _, _, post = expectation_maximisation(patterns)
-            weights[kind] = train_classifier(patterns, post)
+            weights[kind] = train_classifier([(r["votes"], tuple(r["seen"])) for r in sample if r["kind"] == kind], {v: float(p) for (v, _), p in zip(patterns, post)})
     return Model(weights)
 
 
-def find_pii(documents: DataFrame) -> DataFrame:
+def find_pii(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, pii_type, start_pos, end_pos (code points, from 0) of each piece of personal information, without
     repetitions. Null, empty and blank texts give no rows; a repeated document counts once. The candidates are written to
-    the shared folder once; the model is fitted on all of them and then decides on them."""
+    the shared folder once; without a model one is fitted on all of them, and it then decides on them."""
     scanned = cut(scan(documents))
-    model = fit(scanned)
+    model = fit(scanned) if model is None else model
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, s.kind, s.start, s.end) for i, spans in zip(b["doc_id"], b["spans"]) for s in model.choose([Span(x["kind"], x["start"], x["end"], x["votes"]) for x in spans])]
+            rows = [(i, s.kind, s.start, s.end) for i, spans in zip(b["doc_id"], b["spans"]) for s in model.choose(_stored(spans))]
             yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "start_pos", "end_pos"])
 
     out = scanned.mapInPandas(run, "doc_id string, pii_type string, start_pos bigint, end_pos bigint")
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint")).distinct()
 
 
-def redact(text: str | None, model: Model) -> str | None:
-    """The text with [PERSON], [EMAIL], [PHONE], [ID_NUMBER] or [ADDRESS] in place of each span, otherwise unchanged."""
-    if not text:
-        return text
+def _placed(text: str, spans: list[Span]) -> str:
     out, at = [], 0
-    for s in model.choose(candidates(text)):
+    for s in spans:
         out += [text[at : s.start], f"[{s.kind.upper()}]"]
         at = s.end
     return "".join([*out, text[at:]])
 
 
-def redact_documents(documents: DataFrame) -> DataFrame:
-    """doc_id and text of every row with typed placeholders; null stays null. The model is fitted on the same documents."""
-    model = fit(scan(documents))
+def redact(text: str | None, model: Model) -> str | None:
+    """The text with [PERSON], [EMAIL], [PHONE], [ID_NUMBER] or [ADDRESS] in place of each span, otherwise unchanged."""
+    return _placed(text, model.choose(candidates(text))) if text else text
+
+
+def redact_documents(documents: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id and text of every row with typed placeholders; null stays null. With a saved model each text is read once and
+    depends on itself alone. Without one the texts are written to the shared folder with their candidates, which the
+    model is fitted on and then placed from: they are searched once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [redact(t, model) if isinstance(t, str) else None for t in b["text"]]})
+            spans = b["spans"] if "spans" in b else [None] * len(b)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [(redact(t, model) if s is None else _placed(t, model.choose(_stored(s)))) if isinstance(t, str) else None for t, s in zip(b["text"], spans)]})
 
-    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, text string")
-    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    if model is None:
+        rows = cut(scan(documents, True))
+        model = fit(rows)
+    else:
+        rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return rows.mapInPandas(run, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def model_report(scanned: DataFrame) -> str:
