@@ -202,6 +202,8 @@ class Parser:
     def parse(self, text: str) -> list[tuple[int, str]]:
         """All errors as (line from 1, message) in the order of their place; none for a valid module."""
         self.k = "".join(map(self.kinds.__getitem__, _TOKEN.findall(text))) + "$"
+        if sys.getrecursionlimit() < 6 * len(self.k) + 20_000:  # no nesting is deeper than this; Python's calls among themselves take heap, not the C stack
+            sys.setrecursionlimit(6 * len(self.k) + 20_000)
         self.faults: list[tuple[int, str]] = []
         self.open: list[tuple[str, int]] = []
         i = 0
@@ -265,7 +267,7 @@ class Parser:
             elif k[start] in "PF123456789&S~u0" or k[i - 1] in "pf24680u" or c == "$" or c in enders or c in "12345678900u":
                 pass
             elif c in _CLOSERS or c in "eEx":
-                pass
+                pass  # the block's own rule says whether it may stand here
             else:
                 if not self.faults or self.faults[-1][0] < start:
                     self._fault(i, "a semicolon is missing" if c >= " " else "an unknown token")
@@ -329,7 +331,7 @@ class Parser:
         if c == "b":
             return i + 1
         if c == "r":
-            return self._slice(i + 1, _raised) if k[i + 1] in "insaq(?+-!Nw" else i + 1
+            return self._slice(i + 1, _whole) if k[i + 1] in "insaq(?+-!Nw" else i + 1
         if c == "g":
             if k[i + 1] != "~":
                 self._fault(i + 1, "a label is missing")
@@ -406,9 +408,7 @@ class Parser:
     def _method(self, i: int) -> int:
         k, c = self.k, self.k[i]
         if any(kind in "PF" for kind, _ in self.open):
-            if not any(kind in "ILWY" for kind, _ in self.open[-1:]):
-                pass
-            return -1 - i if self._leave() else i + 1
+            return -1 - i  # a method can't begin within another: the blocks up to the outer method end here
         self.open.append((c, i))
         m = _HEADER.match(k, i)
         if m:
@@ -418,14 +418,6 @@ class Parser:
             i = self._stop(i + 1)
         return self._close(self._list(i, _PARTS[c]), _PARTS[c])
 
-    def _leave(self) -> bool:
-        """A method can't begin within another: the blocks up to the outer method end here."""
-        return True
-
-
-def _raised(s: str) -> tuple[int, str] | None:
-    return _whole(s)
-
 
 def _pair(s: str) -> tuple[int, str] | None:
     try:
@@ -450,11 +442,7 @@ def module_errors(content: bytes) -> list[tuple[int, str]]:
         return [(content[: e.start].count(b"\n") + 1, "not UTF-8")]
     if not _PARSER:
         _PARSER.append(Parser())
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))
-    try:
-        return _PARSER[0].parse(text)
-    except RecursionError:
-        return [(1, "nested too deeply")]
+    return _PARSER[0].parse(text)
 
 
 #: Byte order marks and what they say (fixed values).
@@ -463,7 +451,8 @@ _DECLARED = re.compile(rb"""<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z][\w.\-]*)["'
 
 
 def xml_errors(content: bytes) -> list[tuple[int, str]]:
-    """The error of XML bytes, read by their byte order mark, else by the declared encoding, else as UTF-8."""
+    """The error of XML bytes, read by their byte order mark, else by the declared encoding, else as UTF-8. There is at most
+    one: a reader of XML must stop at the first, since nothing behind it can be relied on."""
     mark = next((name for m, name in _MARKS if content.startswith(m)), None)
     try:
         if mark == "utf-32":

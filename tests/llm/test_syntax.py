@@ -83,3 +83,14 @@ def test_null_and_huge_ids(spark):
 def test_no_error_of_a_long_module_is_left_out():
     found = module_errors(("Процедура П()\n" + "А = ;\n" * 2500).encode())
     assert found[0] == (1, "Procedure is not closed") and [n for n, _ in found[1:]] == list(range(2, 2502))
+
+
+def test_no_depth_and_no_number_of_errors_is_too_much():
+    from metascope.llm.syntax import module_errors
+
+    deep = "А = " + "(" * 100_000 + "1" + ")" * 100_000 + ";"
+    assert module_errors(deep.encode()) == []
+    assert module_errors(("А = " + "(" * 100_000 + "1;").encode()) == [(1, "a bracket is not closed")]
+    calls = "А = " + "Ф(" * 30_000 + "1" + ")" * 30_000 + ";"
+    assert module_errors(calls.encode()) == []
+    assert len(module_errors("\n".join(["А = ;"] * 5000).encode())) == 5000
