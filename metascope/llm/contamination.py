@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metascope.runtime import scratch
+
 #: A leak is this many words of an item in a row; with a budget, up to so many words changed, left out or put in.
 WINDOW, BUDGET = 12, 1
-#: Items are searched in blocks of at most this many words: the bound of what each task gets besides its documents.
+#: Items are searched in blocks of about this many words: the bound of what each task gets besides its documents.
 BLOCK_WORDS = 2_000_000
 #: Texts of more characters are read in parts of PART_WORDS words that share more words than any item has.
 LONG_TEXT, PART_WORDS = 4_000_000, 500_000
@@ -23,8 +28,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters and digits, in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters and digits, in lower case. The dotted capital I, whose small form has a mark apart, doesn't end a run."""
+    if not text:
+        return []
+    return _WORD.findall(text.lower()) if "\u0130" not in text else [w.lower() for w in _WORD.findall(text)]
 
 
 def myers(pattern: list, text: list, most: int) -> int:
@@ -184,20 +191,44 @@ class Block:
                 seen[text, i] = (best, max(run, a + b))
 
 
-def blocks(items: DataFrame, window: int = WINDOW, budget: int = BUDGET, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The items in blocks of bounded size, read as a stream; items under `window` words can't leak and are left out."""
-    part, total = [], 0
-    for r in items.select("item_id", "text").filter("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
-        ws = words(r["text"])
-        if len(ws) < window:
-            continue
-        if part and total + len(ws) > block_words:
-            yield Block(part, window, budget)
-            part, total = [], 0
-        part.append((r["item_id"], ws))
-        total += len(ws)
-    if part:
-        yield Block(part, window, budget)
+def write_blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[str, int]:
+    """The items in blocks of about block_words words, made in the executors and written to the shared folder; the folder and
+    the number of blocks. Items under `window` words can't leak and are left out; an item that comes twice counts once.
+    Of the items only a number comes to the driver."""
+    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
+    most = rows.agg(F.sum(F.expr("(length(text) + 1) div 2")).alias("n")).first()["n"] or 0  # no text has more words
+    count = max(1, -(-most // block_words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [(k, i, ws) for k, i, t in zip(*(c.to_pylist() for c in b.columns)) if len(ws := words(t)) >= window]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], kind) for c, kind in enumerate((pa.int32(), pa.int64(), pa.list_(pa.string())))], names=["block", "item_id", "words"])
+
+    folder = scratch(items.sparkSession, "items")
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count)).cast("int").alias("block")
+    rows.select(block, "item_id", "text").mapInArrow(run, "block int, item_id bigint, words array<string>").repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, count
+
+
+#: Blocks that a worker keeps; the words of documents that are searched for one block before the next is read.
+_KEPT: OrderedDict[tuple, Block | None] = OrderedDict()
+KEPT_BLOCKS, PASS_CHARS = 2, 64_000_000
+
+
+def _block(folder: str, number: int, window: int, budget: int) -> Block | None:
+    """A block as a worker needs it, read from the shared folder; None for one without items."""
+    key = (folder, number, window, budget)
+    if key not in _KEPT:
+        while len(_KEPT) >= KEPT_BLOCKS:
+            _KEPT.popitem(last=False)
+        place = folder[5:].replace("//", "/") if folder.startswith("file:") else folder
+        files, path = fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
+        path = f"{path}/block={number}"
+        there = files.get_file_info(path).type != fs.FileType.NotFound
+        t = pq.read_table(path, filesystem=files, partitioning=None).to_pydict() if there else {"item_id": []}
+        _KEPT[key] = Block(sorted(zip(t["item_id"], t["words"])), window, budget) if t["item_id"] else None
+    _KEPT.move_to_end(key)
+    return _KEPT[key]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, budget: int = BUDGET, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -206,26 +237,31 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, bud
     distance: edits of the nearest window of `window` words (0 to budget). words_in_row: the item's words that stand in
     the document in a row, without letter case and whatever stands between them, through the places where a piece was
     hit. Null and empty texts give no rows; short items never leak; repeated documents and items count once. Every word
-    of every document is read; documents are neither shuffled nor collected. The items go to the tasks in blocks of at
-    most block_words words; each block is a scan of the documents.
+    of every document is read, in one scan: documents are neither shuffled nor collected. The items never come to the
+    driver; tasks read them from the shared folder in blocks of about block_words words, a few at a time, and search for
+    each block all documents of a pass before they read the next.
     """
     schema = "doc_id bigint, item_id bigint, distance int, words_in_row int"
+    folder, count = write_blocks(items, window, block_words)
+
+    def found(ids: list, texts: list) -> pa.RecordBatch:
+        rows = [(ids[k], i, d, n) for b in range(count) if (block := _block(folder, b, window, budget)) is not None for k, i, d, n in block.search(texts)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["doc_id", "item_id", "distance", "words_in_row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, chars = [], [], 0
+        for b in batches:
+            ids += b.column(0).to_pylist()
+            texts += b.column(1).to_pylist()
+            chars += b.column(1).nbytes
+            if count == 1 or chars > PASS_CHARS:  # one block is always at hand; of more, each is read once in a pass
+                yield found(ids, texts)
+                ids, texts, chars = [], [], 0
+        if ids:
+            yield found(ids, texts)
 
-    def scan(block: Block) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column(0).to_pylist()
-                rows = [(ids[k], i, d, n) for k, i, d, n in block.search(b.column(1).to_pylist())]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["doc_id", "item_id", "distance", "words_in_row"])
-
-        return documents.select("doc_id", "text").filter("text is not null").mapInArrow(run, schema)
-
-    out = None
-    for block in blocks(items, window, budget, block_words):
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    if out is None:
-        return documents.sparkSession.createDataFrame([], schema)
+    out = documents.select("doc_id", "text").filter("text is not null").mapInArrow(run, schema)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("words_in_row").alias("words_in_row"))
 
 

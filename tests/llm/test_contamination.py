@@ -86,3 +86,20 @@ def test_long_texts_in_parts(monkeypatch):
 
 def test_empty_tables(spark):
     assert leaks(spark, [], []).count() == 0 and leaks(spark, ["a b"], []).count() == 0 and leaks(spark, [], ["a " * 20]).count() == 0
+
+
+def test_a_dotted_capital_i_is_no_end_of_a_word():
+    assert words("İstanbul ve ΑΒ2") == ["i̇stanbul", "ve", "αβ2"]
+
+
+def test_items_stay_off_the_driver(spark, monkeypatch):
+    """One scan of the documents, whatever the number of blocks, and one number of the items at the driver."""
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    monkeypatch.setattr(DataFrame, "collect", None)
+    item = " ".join(f"w{i}" for i in range(40))
+    out = leaks(spark, [f"a {item} b"], [item, item + " c"] + [item.replace("w", f"v{k}") for k in range(30)], block_words=20)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    monkeypatch.undo()
+    assert {r.item_id for r in out.collect()} == {0, 1}
