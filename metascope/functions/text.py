@@ -142,9 +142,14 @@ def severity(value) -> str:
 # --- as Columns -------------------------------------------------------------------------------------------------------
 
 
+_LOW, _DIGITS = "(?:[a-z]++|[а-яё]++)", "(?:[0-9]++(?:[a-z]++|[а-яё]++)?)"
+#: One word of an identifier, as TOKEN and CAMEL cut it, in one pass: a capital with small letters, capitals of one script up to the
+#: one that begins the next word, or small letters; then digits with small letters of either script behind them.
+_WORD_OF = f"(?:[A-Z][a-z]++|[А-ЯЁ][а-яё]++|[A-Z]+(?![a-zа-яё])|[А-ЯЁ]+(?![a-zа-яё])|[A-ZА-ЯЁ]|{_LOW}){_DIGITS}*+|{_DIGITS}++"
+
+
 def normalize_col(c: Column) -> Column:
-    spaced = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("_"), F.lit(" ")), CAMEL, " ")
-    return F.replace(F.lower(F.array_join(F.regexp_extract_all(spaced, F.lit(f"({TOKEN})")), " ")), F.lit("ё"), F.lit("е"))
+    return F.replace(F.lower(F.array_join(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({_WORD_OF})")), " ")), F.lit("ё"), F.lit("е"))
 
 
 def tokens_col(c: Column) -> Column:
@@ -153,9 +158,20 @@ def tokens_col(c: Column) -> Column:
 
 
 assert [len(e) for e in SUFFIXES] == sorted((len(e) for e in SUFFIXES), reverse=True)
+
+
+def _trie(words: Iterable[str]) -> str:
+    """A pattern for any of the words in which common beginnings are tried once."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[:1], []).append(w[1:])
+    parts = [c + ("" if rest == [""] else f"(?:{_trie(rest)})") for c, rest in first.items() if c]
+    return "|".join(parts + ([""] if "" in first else []))
+
+
 #: A word of Cyrillic letters and its longest ending that leaves four: as SUFFIXES go from long to short, that is the first
-#: of them that fits. The reluctant stem meets the longest ending first.
-_ENDING = f"(?<![^ ])([а-яё]{{4,}}?)(?:{'|'.join(SUFFIXES)})(?![^ ])"
+#: of them that fits. The reluctant stem meets the longest ending first; it asks for one only where no more letters are left than the longest has.
+_ENDING = f"(?<![^ ])([а-яё]{{4,}}?)(?=[а-яё]{{1,{max(map(len, SUFFIXES))}}}(?![^ ]))(?:{_trie(SUFFIXES)})(?![^ ])"
 
 
 def stemmed_col(normalized: Column) -> Column:
@@ -208,11 +224,11 @@ def akin_count_col(words: Column, prefixes: Iterable[str]) -> Column:
     return sum((joined.rlike(_akin_pattern(p)).cast("int") for p in prefixes), F.lit(0))
 
 
-def overlap_col(stems_: Column, kw: list[str], phrase: str = "") -> Column:
-    """T11 over an array of stems that was computed once."""
+def overlap_col(stems_: Column, kw: list[str], phrase: str = "", joined: Column | None = None) -> Column:
+    """T11 over an array of stems that was computed once, and their text, if that was, too."""
     if not kw:
         return F.lit(0.0)
-    joined = F.array_join(stems_, " ")
+    joined = F.array_join(stems_, " ") if joined is None else joined
     count = lambda f: sum((f(k).cast("int") for k in kw), F.lit(0))
     score = F.lit(0.8) * count(lambda k: F.array_contains(stems_, k)) / F.lit(float(len(kw))) + F.lit(0.12) * count(lambda k: F.contains(joined, F.lit(k)))
     if len(phrase) > 2:
@@ -220,6 +236,13 @@ def overlap_col(stems_: Column, kw: list[str], phrase: str = "") -> Column:
     return F.when(joined == "", 0.0).otherwise(score)
 
 
+def mentions_col(c: Column, kw: list[str]) -> Column:
+    """Whether a text may hold one of the keywords: false only if no stem of it can be or contain one, since stems are
+    parts of the lower-case text. A cheap test before the text is taken apart."""
+    low = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ё"), F.lit("е"))
+    return low.rlike("|".join(kw)) if kw else F.lit(False)  # stems are letters and digits
+
+
 def specificity_col(stems_: Column, kw: list[str], phrase: str = "") -> Column:
     if not kw:
         return F.lit(0.0)

@@ -181,7 +181,8 @@ def post_change(spark: SparkSession, d: str) -> DataFrame:
 
 def built_graph(spark: SparkSession, d: str) -> DataFrame:
     """The graph of the newest exported files, in numbers."""
-    f = _files(spark, d)
+    f = table(spark, d, "export_files")
+    f = f.join(newest_versions(f).select("file_id"), "file_id", "left_semi")  # repeated rows give the same nodes and edges, which are merged
     n, e = graph.build_graph(descriptors.objects(f), descriptors.forms(f), modules.methods(f), modules.modules(f))
     return graph.graph_stats(n, e)
 

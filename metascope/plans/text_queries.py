@@ -34,8 +34,10 @@ def doc_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
     kw = t.keywords(QUESTION)
-    st = table(spark, d, "documents").select("doc_id", F.inline(F.array(F.struct(t.stems_col(F.col("text")).alias("st")))))  # a generator keeps filters on the score above
-    return st.select("doc_id", F.round(t.overlap_col(F.col("st"), kw, " ".join(kw)), 6).alias("score"))
+    stems = F.when(t.mentions_col(F.col("text"), kw), t.stems_col(F.col("text"))).otherwise(F.expr("cast(array() as array<string>)"))
+    once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))  # noqa: E731  # out of a generator, so that no mention computes it again
+    st = table(spark, d, "documents").select("doc_id", once(stems, "st")).select("doc_id", "st", once(F.array_join("st", " "), "joined"))
+    return st.select("doc_id", once(F.round(t.overlap_col(F.col("st"), kw, " ".join(kw), F.col("joined")), 6), "score"))
 
 
 def lexical_rank(spark: SparkSession, d: str) -> DataFrame:
