@@ -203,12 +203,12 @@ def build_graph(objects: DataFrame, forms: DataFrame, methods: DataFrame, module
     linked = links.join(last_method, ["config_id", "module_path", "method_name"])
     edges.append(_edge(linked, hid(F.col("method_name")), F.col("_method"), "implements_handler", edge_source="source_name", event="event"))
     # calls and uses
-    call = m.select("config_id", "_order", method_id.alias("source_id"), "module_path", F.col("method_name").alias("source_method"), F.explode(call_candidates(F.col("body"))).alias("x")).select("config_id", "_order", "source_id", "module_path", "source_method", F.col("x.kind").alias("resolution"), F.col("x.module_name").alias("module_name"), F.col("x.method_name").alias("method_name"))
+    call = cut(m.select("config_id", "_order", method_id.alias("source_id"), "module_path", F.col("method_name").alias("source_method"), F.explode(call_candidates(F.col("body"))).alias("x")).select("config_id", "_order", "source_id", "module_path", "source_method", F.col("x.kind").alias("resolution"), F.col("x.module_name").alias("module_name"), F.col("x.method_name").alias("method_name")))  # bodies are searched once
     target = m.select("config_id", "module_path", "module_name", "method_name", method_id.alias("target_id")).distinct()  # files may be given twice
     near = unique_resolution(call.filter("resolution = 'local'").drop("module_name"), target.select("config_id", "module_path", "method_name", "target_id"), ["config_id", "module_path", "method_name"]).withColumn("module_name", F.lit(None).cast("string"))
     far = unique_resolution(call.filter("resolution = 'qualified'"), target.select("config_id", "module_name", "method_name", "target_id"), ["config_id", "module_name", "method_name"])
     edges.append(_edge(near.unionByName(far), F.col("source_id"), F.col("target_id"), "calls", edge_source="method_name", resolution="resolution", via_module="module_name", source_method="source_method"))
-    use = m.select("config_id", "_order", method_id.alias("source_id"), F.col("method_name").alias("source_method"), F.explode(metadata_usages(F.col("body"))).alias("u")).select("config_id", "_order", "source_id", "source_method", "u.*")
+    use = cut(m.select("config_id", "_order", method_id.alias("source_id"), F.col("method_name").alias("source_method"), F.explode(metadata_usages(F.col("body"))).alias("u")).select("config_id", "_order", "source_id", "source_method", "u.*"))
     uid = meta(F.col("object_type"), F.col("object_name"))
     nodes.append(_node(use, uid, "metadata", object_type="object_type", object_name="object_name"))
     edges.append(_edge(use, F.col("source_id"), uid, "uses_metadata", namespace="namespace", edge_source=F.concat_ws(".", "namespace", "object_name"), source_method="source_method"))

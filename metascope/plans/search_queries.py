@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from metascope.operators import search, vectors
 from metascope.plans import sql_text as s
+from metascope.plans.text_queries import signals_sql
 from metascope.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,9 +87,12 @@ def explain_components(spark: SparkSession, d: str) -> DataFrame:
     return e.select("config_id", "file_path", "score", shown.alias("components"))
 
 
+CODE_QUESTION = "проверить остатки по умолчанию"
+
+
 def code_lexical(spark: SparkSession, d: str) -> DataFrame:
     """methods by words."""
-    q = search.Question("проверить остатки по умолчанию")
+    q = search.Question(CODE_QUESTION)
     c = table(spark, d, "chunks").filter("chunk_type = 'code'").select("id", "module_path", "module_type", "method_name", "document").distinct()
     return search.scored(search.prepared(c, "method_name", "module_path", "document"), search.code_parts(q, "lexical")).filter("score > 0").select("id", "method_name", "score")
 
@@ -119,6 +123,18 @@ _SUM = " + ".join(f"({v})" for _, v in _parts_sql())
 _LEX = f"SELECT config_id, file_path, object_type, object_name, round({_SUM}, 6) AS score FROM ({_OBJ})"
 _LOOK = f"""SELECT * FROM (SELECT config_id, object_type, object_name, synonym, round(1.8::DOUBLE * ({s.identifier('n', 'a', 'журнал рецептур')}) + 1.4::DOUBLE * ({s.identifier('m', 'b', 'журнал рецептур')}), 6) AS score
 FROM (SELECT *, {s.normalized('object_name')} AS n, {s.stems('object_name')} AS a, {s.normalized('synonym')} AS m, {s.stems('synonym')} AS b FROM (SELECT DISTINCT config_id, object_type, object_name, synonym FROM chunks WHERE chunk_type = 'metadata'))) WHERE score >= 1"""
+def _code_sql() -> str:
+    q = search.Question(CODE_QUESTION)
+    kw, ph = q.code_kw, q.code_phrase
+    name, module = s.overlap("a", kw, ph), s.overlap("b", kw, ph)
+    parts = [f"({name}) * 2.0::DOUBLE", f"({s.specificity('a', kw, ph)}) * 1.4::DOUBLE", f"({module}) * 2.4::DOUBLE", f"({s.specificity('b', kw, ph)}) * 1.4::DOUBLE"]
+    parts += [f"CASE WHEN ({name}) + ({module}) < 0.25 THEN -99 ELSE 0 END", "CASE WHEN module_type = 'Reports' THEN -1.8 ELSE 0 END"]
+    parts += [f"({signals_sql(CODE_QUESTION)})"] if q.validation else []
+    stems = f"{s.stems('method_name')} AS a, {s.stems('module_path')} AS b, {s.normalized('method_name')} AS na, {s.normalized('module_path')} AS nb, {s.normalized('document')} AS nc"
+    rows = f"SELECT *, concat_ws(' ', na, nb, nc) AS every FROM (SELECT *, {stems} FROM (SELECT DISTINCT id, module_path, module_type, method_name, document FROM chunks WHERE chunk_type = 'code'))"
+    return f"SELECT id, method_name, round({' + '.join(f'({x})' for x in parts)}, 6) AS score FROM ({rows}) WHERE score > 0"
+
+
 _SHOWN = " || ".join(f"CASE WHEN abs(v{i}) >= 0.05 THEN ' {n}=' || round(v{i} * 100, 0)::BIGINT ELSE '' END" for i, (n, _) in enumerate(_parts_sql()))
 
 SQL: dict[str, str] = {
@@ -127,6 +143,7 @@ SQL: dict[str, str] = {
     "vector_multiquery_best": f"SELECT id, max(score) AS score, min(query_id) FILTER (score = m) AS query_id FROM (SELECT *, max(score) OVER (PARTITION BY id) AS m FROM ({_ALL})) GROUP BY id",
     "object_lexical": f"SELECT * FROM ({_LEX}) WHERE score > 0",
     "object_lookup": _LOOK,
+    "code_lexical": _code_sql(),
     "fusion_max": f"""WITH a AS (SELECT config_id, object_name, max(score) AS x FROM ({_LEX}) WHERE score > 0 GROUP BY ALL), b AS (SELECT config_id, object_name, max(score) AS y FROM ({_LOOK}) GROUP BY ALL)
 SELECT config_id, object_name, greatest(coalesce(x, y), coalesce(y, x)) AS score, CASE WHEN y IS NULL OR x >= y THEN 'lexical' ELSE 'lookup' END AS source, concat_ws('+', CASE WHEN x IS NOT NULL THEN 'lexical' END, CASE WHEN y IS NOT NULL THEN 'lookup' END) AS sources FROM a FULL JOIN b USING (config_id, object_name)""",
     "explain_components": f"SELECT config_id, file_path, round({' + '.join(f'v{i}' for i in range(len(_parts_sql())))}, 6) AS score, ltrim({_SHOWN}) AS components FROM (SELECT config_id, file_path, {', '.join(f'({v}) AS v{i}' for i, (_, v) in enumerate(_parts_sql()))} FROM ({_OBJ}))",

@@ -135,13 +135,14 @@ def _alias_sql(words: list[str]) -> str:
     return f"SELECT config_id, object_type, object_name, h{len(words)} AS hits FROM ({rows})"
 
 
-def _signals_sql() -> str:
-    q, out = t.normalize(CHECK_QUESTION), []
+def signals_sql(question: str) -> str:
+    """F8 over na, nb, nc (the normalized name, path and text) and every (all three)."""
+    q, out = t.normalize(question), []
     has = lambda col, phrases: "(" + " OR ".join(f"contains({col}, {s.q(p)})" for p in phrases) + ")"
     for _, where, phrases, weight, asked, otherwise in VALIDATION_SIGNALS:
         if asked in q:
-            out.append(f"CASE WHEN {has({'method': 'a', 'document': 'c', 'any': 'every'}[where], phrases)} THEN {weight}::DOUBLE ELSE {otherwise} END")
-    kinds = "".join(f" WHEN {'module_type IN (' + ', '.join(map(s.q, types)) + ')' if types else f'starts_with(b, {s.q(begins)})'} THEN {weight}::DOUBLE" for types, begins, weight in VALIDATION_MODULES)
+            out.append(f"CASE WHEN {has({'method': 'na', 'document': 'nc', 'any': 'every'}[where], phrases)} THEN {weight}::DOUBLE ELSE {otherwise} END")
+    kinds = "".join(f" WHEN {'module_type IN (' + ', '.join(map(s.q, types)) + ')' if types else f'starts_with(nb, {s.q(begins)})'} THEN {weight}::DOUBLE" for types, begins, weight in VALIDATION_MODULES)
     return " + ".join([*out, f"CASE{kinds} ELSE 0 END"])
 
 
@@ -160,7 +161,7 @@ SELECT doc_id, {s.any_in('n', STRUCTURE_PHRASES)} AS structural, {s.any_in('n',
     "query_expansion": f"""SELECT item_id, array_to_string(k, ' ') AS phrase, array_to_string(k, '') AS compact, array_to_string(k[1:8], ' ') AS short_phrase
 FROM (SELECT item_id, {s.keywords_of('st')} AS k FROM (SELECT item_id, {s.stems('text')} AS st FROM eval_items))""",
     "severity_counts": f"SELECT {_SEVERITY} AS severity, count(*) AS findings FROM (SELECT lower(trim(coalesce(severity, ''))) AS v FROM (SELECT DISTINCT * FROM diagnostics)) GROUP BY ALL",
-    "rule_score": f"SELECT DISTINCT id, method_name, module_path, round({_signals_sql()}, 6) AS score FROM (SELECT *, concat_ws(' ', a, b, c) AS every FROM (SELECT id, method_name, module_path, module_type, {s.normalized('method_name')} AS a, {s.normalized('module_path')} AS b, {s.normalized('document')} AS c FROM chunks WHERE chunk_type = 'code'))",
+    "rule_score": f"SELECT DISTINCT id, method_name, module_path, round({signals_sql(CHECK_QUESTION)}, 6) AS score FROM (SELECT *, concat_ws(' ', na, nb, nc) AS every FROM (SELECT id, method_name, module_path, module_type, {s.normalized('method_name')} AS na, {s.normalized('module_path')} AS nb, {s.normalized('document')} AS nc FROM chunks WHERE chunk_type = 'code'))",
     "anchor_score": f"""SELECT config_id, object_type, object_name, synonym, round(CASE WHEN t = '' THEN 0 ELSE n * 0.7::DOUBLE + CASE WHEN n >= 2 THEN 1.2 ELSE 0 END - CASE WHEN n = 0 THEN least(1.4, {len(_ANCHORS)} * 0.35) ELSE 0 END + CASE WHEN contains(t, 'договор') THEN 2.2 WHEN contains(t, 'контрагент') THEN -1.2 ELSE 0 END END, 6) AS score
 FROM (SELECT *, {' + '.join(f'contains(t, {s.q(a)})::INT' for a in _ANCHORS)} AS n FROM (SELECT *, array_to_string(list_concat({s.stems('object_name')}, {s.stems('synonym')}), ' ') AS t FROM (SELECT DISTINCT config_id, object_type, object_name, synonym FROM chunks WHERE chunk_type = 'metadata')))""",
     "alias_overlap": _alias_sql(t.keywords("журналы рецептура плановых складов")),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metascope.operators import ledger, nested, orphans
-from metascope.plans import export_queries, graph_queries, search_queries, sql_nested, text_queries, tool_queries
+from metascope.plans import export_queries, graph_queries, search_queries, sink_queries, sql_nested, text_queries, tool_queries
 from metascope.plans.sql_ledger import LEDGER as _LEDGER
 from metascope.runtime import scratch, table
 
@@ -103,6 +103,6 @@ SELECT edge_type, strftime(observed_at, '%Y-%m') AS month, CAST(sum(d) AS BIGINT
     "p5_ledger": f"WITH {_LEDGER} SELECT config_id, state, count(*) AS items FROM work GROUP BY ALL",
 }
 
-for _more in (text_queries, export_queries, graph_queries, search_queries, tool_queries):
+for _more in (text_queries, export_queries, graph_queries, search_queries, tool_queries, sink_queries):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL
