@@ -19,7 +19,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_documents(table(spark, d, "chunks")).distinct()
+    """Repeated rows are made distinct by id and text before they are cut, so that pieces are not shuffled."""
+    c = table(spark, d, "chunks").select("id", "module_path", "method_name", "document").withColumn("_h", F.xxhash64("document"))
+    return splitting.split_documents(c.dropDuplicates(["id", "module_path", "method_name", "_h"]))
+
+
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each oversized item: whether all pieces keep the limit, whether each begins with the end of the one before, and the
+    hash of the pieces without their overlaps, put together."""
+    c = table(spark, d, "chunks").select("id", "document").distinct()
+    n, k = splitting.LIMIT, splitting.OVERLAP
+    rows = c.filter(F.char_length("document") > n).select("id", splitting.pieces(F.col("document")).alias("ps"))
+    fits = F.forall("ps", lambda p: F.char_length(p["piece"]) <= n)
+    shares = F.forall(F.sequence(F.lit(1), F.size("ps") - 1), lambda i: F.left(F.get("ps", i)["piece"], F.lit(k)) == F.right(F.get("ps", i - 1)["piece"], F.lit(k)))
+    whole = F.array_join(F.transform("ps", lambda p, i: F.when(i == 0, p["piece"]).otherwise(F.substr(p["piece"], F.lit(k + 1)))), "")
+    return rows.select("id", fits.alias("fits"), shares.alias("shares"), F.md5(whole.cast("binary")).alias("document_md5")).distinct()
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -75,9 +89,10 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 _GRAMS = "unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' '))) AS g"
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_errors, p3_rates, p3_reported, p6_ids, p6_round_trip, p7_found, p7_leaks, p8_found, p8_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p2_checks, p3_found, p3_errors, p3_rates, p3_reported, p6_ids, p6_round_trip, p7_found, p7_leaks, p8_found, p8_redacted)}
 SQL: dict[str, str] = {
     "p2_found": "SELECT DISTINCT id FROM chunks WHERE length(document) > 4000",
+    "p2_checks": "SELECT DISTINCT id, true AS fits, true AS shares, md5(document) AS document_md5 FROM chunks WHERE length(document) > 4000",
     "p7_found": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM eval_items WHERE text IS NOT NULL)
 SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, {_GRAMS} FROM d) a JOIN (SELECT item_id, {_GRAMS} FROM i) b USING (g)""",
