@@ -126,13 +126,25 @@ class Span:
 
 #: Features of spans are hashed into so many places.
 FEATURES = 96
-_RUNS = re.compile(r"\d+|[^\W\d_]+|\s+|.", re.S)
-_LAST_WORD, _NEXT = re.compile(r"(\w+)\W*$"), re.compile(r"\s*(\w+|\S)?")
+_LAST_WORD, _NEXT, _AGAIN = re.compile(r"(\w+)\W*$"), re.compile(r"\s*(\w+|\S)?"), re.compile(r"(.)\1+", re.S)
+
+
+class _Classes(dict):
+    """Characters by class: 9 digit, X capital, x other letter, blank; the rest stays. Remembers each character."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else " " if c.isspace() else c
+        return out
+
+
+_CLASSES = _Classes()
 
 
 def _shape(s: str) -> str:
-    """Xx for a word with a capital, X for capitals, x else, and the number of digits; other characters stay."""
-    return "".join(f"9{len(r)}" if r.isdigit() else ("X" if r.isupper() else "Xx" if r[0].isupper() else "x") if r.isalpha() else " " if r.isspace() else r for r in _RUNS.findall(s[:80]))
+    """The classes of a span's characters, runs of one class as one, and the number of digits."""
+    classes = s[:80].translate(_CLASSES)
+    return f"{_AGAIN.sub(r'\1', classes)} {classes.count('9')}"
 
 
 def features(text: str, span: Span) -> tuple[int, ...]:
@@ -371,7 +383,7 @@ def expectation_maximisation(patterns: list[tuple[str, int]], rounds: int = 100)
 
 
 #: How many spans of a type the classifier is trained on at most; all spans are counted for EM and decided by the classifier.
-TRAIN_SPANS = 20_000
+TRAIN_SPANS = 5_000
 
 
 def _row(votes: str, seen) -> np.ndarray:
