@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metascope.plans import graph_queries
+from metascope.plans import sql_text as s
 from metascope.plans.engine import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +62,8 @@ QUERIES: dict[str, Query] = {
     "tool_list_object_forms": _of_owner("contains_form", lambda e, name, kind: e.list_object_forms(name, kind)),
     "tool_find_method": _near(lambda e: e.find_method("ПроверитьОстатки")),
     "tool_find_usages": _tool(lambda e: e.find_usages(OBJECT, KIND)),
-    "tool_get_callers": _tool(lambda e: e.get_callers("ПроверитьОстатки")),
-    "tool_get_callees": _tool(lambda e: e.get_callees("ПроверитьОстатки")),
+    "tool_get_callers": _tool(lambda e: e.get_callers(_METHOD)),
+    "tool_get_callees": _tool(lambda e: e.get_callees(_METHOD)),
     "tool_get_dependencies": _of_owner("references_metadata", lambda e, name, kind: e.get_dependencies(name, kind)),
     "tool_get_file_snippet": _tool(lambda e: e.get_file_snippet("ObjectModule.bsl", 1, 2)),
     "tool_change_impact_report": _tool(lambda e: e.change_impact_report(OBJECT, KIND)),
@@ -79,7 +80,18 @@ QUERIES: dict[str, Query] = {
 _ID = f"metadata:{KIND}.{OBJECT}"
 _NOW = graph_queries._NEAR.replace("FROM nodes GROUP BY ALL", "FROM nodes WHERE deleted_at IS NULL GROUP BY ALL")  # the tools see what is not deleted
 _SECTIONS = graph_queries.SQL["object_context"].replace("place <= 5", "place <= 20")
+_METHOD = "ПроверитьОстатки"
+_BEST = f"""best AS (SELECT 'method:' || module_path || '.' || method_name || ':' || start_line AS id FROM (SELECT *, round(({s.identifier('n', 'st', _METHOD)}) * 2.2::DOUBLE + CASE WHEN lower(method_name) = {s.q(_METHOD.lower())} THEN 5 ELSE 0 END, 6) AS score
+  FROM (SELECT *, {s.normalized('method_name')} AS n, {s.stems('method_name')} AS st FROM (SELECT DISTINCT id, module_path, method_name, start_line FROM chunks WHERE config_id = '{CONFIG}' AND chunk_type = 'code'))) WHERE score >= 1.4 ORDER BY score DESC, module_path, start_line, id LIMIT 1)"""
+
+
+def _calls_sql(own: str, other: str) -> str:
+    return f"""WITH {_NOW}, {_BEST} SELECT from_id, to_id, resolution, n_name, n_file_path, seq FROM e LEFT JOIN x ON c = config_id AND i = {other} WHERE config_id = '{CONFIG}' AND edge_type = 'calls' AND {own} IN (SELECT id FROM best) ORDER BY seq LIMIT 20"""
+
+
 SQL: dict[str, str] = {
+    "tool_get_callers": _calls_sql("to_id", "from_id"),
+    "tool_get_callees": _calls_sql("from_id", "to_id"),
     "tool_list_configurations": f"SELECT *, config_id = '{CONFIG}' AS active FROM (SELECT DISTINCT * FROM configs)",
     "tool_extension_overlay_report": f"SELECT * FROM ({graph_queries.SQL['overlay_semi_anti']}) WHERE config_id = '{CONFIG}' OR base_config_id = '{CONFIG}'",
     "tool_change_impact_report": f"SELECT section, other_id FROM ({_SECTIONS}) WHERE config_id = '{CONFIG}' AND id = '{_ID}'",
