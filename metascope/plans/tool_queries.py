@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metascope.plans import graph_queries
+from metascope.plans import export_queries, graph_queries
 from metascope.plans import sql_text as s
 from metascope.plans.engine import Engine
 
@@ -89,7 +89,13 @@ def _calls_sql(own: str, other: str) -> str:
     return f"""WITH {_NOW}, {_BEST} SELECT from_id, to_id, resolution, n_name, n_file_path, seq FROM e LEFT JOIN x ON c = config_id AND i = {other} WHERE config_id = '{CONFIG}' AND edge_type = 'calls' AND {own} IN (SELECT id FROM best) ORDER BY seq LIMIT 20"""
 
 
+_NEWEST = r"FROM (SELECT * FROM export_files QUALIFY row_number() OVER (PARTITION BY config_id, replace(rel_path, '\', '/') ORDER BY scanned_at DESC, file_id DESC) = 1) GROUP BY ALL"
+_COUNTED = export_queries.SQL["export_counts"].replace("FROM export_files GROUP BY ALL", _NEWEST)
+
 SQL: dict[str, str] = {
+    "tool_index_status": f"""WITH {_NOW} SELECT 'chunks' AS section, chunk_type AS name, count(*) AS n FROM (SELECT DISTINCT id, chunk_type FROM chunks WHERE config_id = '{CONFIG}') GROUP BY ALL
+UNION ALL SELECT 'node', kind, count(*) FROM m WHERE config_id = '{CONFIG}' GROUP BY ALL UNION ALL SELECT 'edge', edge_type, count(*) FROM e WHERE config_id = '{CONFIG}' GROUP BY ALL
+UNION ALL SELECT 'files', name, n FROM (UNPIVOT (SELECT * EXCLUDE config_id FROM ({_COUNTED}) WHERE config_id = '{CONFIG}') ON COLUMNS(*) INTO NAME name VALUE n)""",
     "tool_get_callers": _calls_sql("to_id", "from_id"),
     "tool_get_callees": _calls_sql("from_id", "to_id"),
     "tool_list_configurations": f"SELECT *, config_id = '{CONFIG}' AS active FROM (SELECT DISTINCT * FROM configs)",
