@@ -272,11 +272,11 @@ class Engine:
         return g.unionByName(c.join(g.select("to_id"), "to_id", "left_anti"))
 
     def get_file_snippet(self, path: str, first: int, last: int) -> DataFrame:
-        """Lines of one file, by its path or the end of it."""
+        """Lines of one file, by its path or the end of it. Bytes that are not UTF-8 and a byte order mark are left out."""
         rel = exports.slashes(F.col("rel_path"))
         p = path.replace("\\", "/")
-        hit = self.files.filter((rel == p) | rel.endswith("/" + p) | (exports.slashes(F.col("file_path")) == p)).select("rel_path", F.decode("content", "UTF-8").alias("text"))
-        return exports.line_snippet(hit, "rel_path", "text", first, last)
+        hit = self.files.filter((rel == p) | rel.endswith("/" + p) | (exports.slashes(F.col("file_path")) == p))
+        return exports.line_snippet(modules.texts(hit), "rel_path", "text", first, last)
 
     def form_structure_report(self, name: str, owner_name: str | None = None, owner_type: str | None = None, limit: int = 30) -> DataFrame:
         """Parts of the best matching form, with their depth, and hints: section, id, name, detail."""

@@ -25,6 +25,17 @@ def read_text(content: bytes) -> str:
     return content.decode("utf-8-sig", "ignore").replace("\r\n", "\n").replace("\r", "\n")
 
 
+def texts(files: DataFrame) -> DataFrame:
+    """rel_path and text (by read_text) of all files. Null contents give none."""
+    rows = files.filter(F.col("content").isNotNull()).select("rel_path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"rel_path": b["rel_path"], "text": [read_text(bytes(c)) for c in b["content"]]})
+
+    return rows.mapInPandas(run, "rel_path string, text string")
+
+
 def split_methods(text: str, joined_comments: bool = False) -> list[dict]:
     """The methods of a module. A method runs from its head to the first line that closes one; an open one is
     left out. The // comments and & annotations right above it belong to it; an empty or any other line ends them.

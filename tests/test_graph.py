@@ -225,6 +225,14 @@ def test_reindex_clears_files_without_methods(spark, tmp_path):
         assert store.read("methods").count() == 1 - n
 
 
+def test_snippets_of_contents_that_are_not_utf8(spark):
+    contents = ["\ufeffА\r\nБ\ufffd\rВ".encode(), b"x\xff\xd0y\n\xd0\x90\xd0", b"\x89PNG\r\n\x1a", None]  # byte order mark; stray and cut-off bytes; a binary file
+    rows = [(i, "a", f"D:/{i}/x.bsl", f"{i}\\x.bsl", None, None, c, datetime(2025, 1, 1)) for i, c in enumerate(contents)]
+    e = Engine(spark, {"export_files": spark.createDataFrame(rows, VERSIONS)}, "a")
+    got = sorted(map(tuple, e.get_file_snippet("x.bsl", 1, 2).collect()))
+    assert got == [("0\\x.bsl", 1, "А"), ("0\\x.bsl", 2, "Б\ufffd"), ("1\\x.bsl", 1, "xy"), ("1\\x.bsl", 2, "А"), ("2\\x.bsl", 1, "PNG"), ("2\\x.bsl", 2, "\x1a")]
+
+
 def test_late_versions_are_counted(spark, tmp_path):
     from metascope.streaming.ingest import change_counts
 
